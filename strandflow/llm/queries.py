@@ -26,6 +26,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return clique_clusters(read(spark, d, "residues"), "idx", "aa_embeddings").select(F.col("clust").alias("clust_idx"), F.col("id").alias("idx"), "role")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from strandflow.llm.chosen_path import residue_runs, similar_by_vector, similar_sets
+
+    a = similar_sets(residue_runs(read(spark, d, "residues")), 0.6)
+    b = similar_by_vector(read(spark, d, "seq_emb"), "seqnum", "sequence_embeddings", 0.985)
+    return a.unionByName(b).distinct().select(F.col("a").cast("int").alias("seq1"), F.col("b").cast("int").alias("seq2"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from strandflow.llm.grid_components import connected_groups
 
@@ -41,19 +49,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
 
 
 SQL = {
-    "p1_found": """
-with aa as (select distinct on (idx) 'aa' as level, idx as id, aa_embeddings::double[] as v from residues where len(aa_embeddings) = 48 and idx is not null),
-sq as (select distinct on (seqnum) 'seq' as level, seqnum::bigint as id, sequence_embeddings::double[] as v from seq_emb where len(sequence_embeddings) = 48 and seqnum is not null),
-u as (select level, id, v, sqrt(list_dot_product(v, v)) as n from (from aa union all from sq) where len(list_filter(v, lambda x: x is null or isnan(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
-n as materialized (select level, id, list_transform(v, lambda x: x / n)::double[48] as v from u),
-c as (select a.level, a.id as q, b.id as t, round(array_inner_product(a.v, b.v), 6) as c from n a join n b on a.level = b.level and a.id <> b.id where array_inner_product(a.v, b.v) >= 0.8999995),
-r as (select *, row_number() over (partition by level, q order by c desc, t) as rn from c where c >= 0.90)
-select distinct level, least(q, t) as id1, greatest(q, t) as id2 from r where rn <= 3
-""",
     "p2_found": """
 with aa as (select distinct on (idx) idx as id, aa_embeddings::double[] as v from residues where len(aa_embeddings) = 48 and idx is not null),
 u as (select id, v, sqrt(list_dot_product(v, v)) as n from aa where len(list_filter(v, lambda x: x is null or isnan(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
@@ -63,6 +62,16 @@ s as (select q, list_sort(list_append(list(t), q)) as m, round(avg(c), 6) as mea
 g as (select *, count(*) over (partition by m) as same from s),
 k as (select m[1] as clust_idx, q as idx, row_number() over (partition by m order by mean desc, q) as rn from g where len(m) >= 3 and same = len(m))
 select clust_idx, idx, case when rn = 1 then 'typical' else 'member' end as role from k
+""",
+    "p3_found": """
+with r as (select distinct on (seqnum, seqpos) seqnum, seqpos, upper(coalesce(seqaa, 'X')) as aa from residues where seqnum is not null and seqpos is not null),
+t as (select seqnum, aa || lead(aa) over w || lead(aa, 2) over w as k from r window w as (partition by seqnum order by seqpos)),
+s as (select distinct seqnum, k, count(distinct k) over (partition by seqnum) as n from t where k is not null),
+i as (select a.seqnum as q, b.seqnum as t, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from s a join s b on a.k = b.k and a.seqnum < b.seqnum where a.n >= 10 and b.n >= 10 group by 1, 2),
+e as (select distinct on (seqnum) seqnum as id, sequence_embeddings::double[] as v from seq_emb where len(sequence_embeddings) = 48 and seqnum is not null),
+u as (select id, v, sqrt(list_dot_product(v, v)) as n from e where len(list_filter(v, lambda x: x is null or isnan(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0)
+select q as seq1, t as seq2 from i where c >= 0.6 * (na + nb - c) - 1e-9
+union select a.id, b.id from u a join u b on a.id < b.id and round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) >= 0.985
 """,
     "p4_found": f"""
 with recursive l as (select try_cast(regexp_extract(aa1, '{LABEL}', 1) as bigint) as s1, try_cast(regexp_extract(aa1, '{LABEL}', 2) as bigint) as p1,
