@@ -4,7 +4,8 @@ In each of several runs every set starts at the run's root and follows those of
 selects, about 1 / (threshold x size) of them, so similar sets meet in a bucket with a constant chance however large
 the collection is. Buckets of at most LEAF sets are compared outright; larger ones are split again by further tokens.
 What is still large at the last level is compared in blocks over many tasks, so nothing is left out. Runs are repeated
-until the expected recall of pairs at the threshold passes 0.99. Vectors join through sets too: of TABLES random
+until the expected recall of pairs at the threshold passes 0.99. In a bucket, 128-bit sign sketches put aside pairs whose
+sketches differ by more than 3.5 standard deviations beyond what the threshold leads to. Vectors join through sets too: of TABLES random
 hyperplane codes of BITS bits, one token each. Every candidate is then checked exactly.
 
 Sets equal in all tokens are one node of the join (`classes`); in a result of pairs, up to EXPAND copies are written out
@@ -28,14 +29,50 @@ from pyspark.sql import functions as F
 from strandflow.llm import posting_lists as pl
 from strandflow.session import cut, small_side
 
-LEAF, LEVELS, EXPAND = 64, 4, 50
-RECALL, TABLES, BITS = 0.99, 96, 12
+LEAF, LEVELS, EXPAND = 32, 5, 50
+RECALL, TABLES, BITS, SKETCH = 0.99, 96, 16, 128
 
 
-def runs_for(recall: float = RECALL, levels: int = 2, shared: float = 1.25) -> int:
-    """Runs that bring pairs at the threshold to the recall: at each level a pair goes on together with chance 1 - exp(-shared)."""
-    keep = (1 - math.exp(-shared)) ** levels
-    return math.ceil(math.log(1 - recall) / math.log(1 - keep)) + 4
+def runs_for(threshold: float, recall: float = RECALL, levels: int = 2) -> int:
+    """Runs that bring pairs at the threshold to the recall: they share 2 / (1 + threshold) selected tokens a level on average."""
+    keep = (1 - math.exp(-2 / (1 + threshold))) ** levels
+    return math.ceil(math.log(1 - recall) / math.log(1 - keep)) + 2
+
+
+def bits_apart(cos: float, bits: int = SKETCH, deviations: float = 3.5) -> int:
+    """Most differing sketch bits of two vectors of this cosine, but for a chance of about 1 in 4,000."""
+    p = math.acos(cos) / math.pi
+    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
+def _longs(signs: np.ndarray) -> pa.Array:
+    """Rows of SKETCH signs as an array of two longs each."""
+    words = np.packbits(signs, axis=1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, words.shape[1], dtype=np.int32)), pa.array(words.ravel()))
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """(id, tokens) with a sketch: the signs of sums over the tokens of random +1 / -1 vectors, drawn by hashing the token."""
+
+    def draw(batches):
+        for b in batches:
+            lists = b.column(1)
+            tokens, ends = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().cumsum()
+            if not len(tokens):
+                continue
+            words = np.stack([_mix(tokens, i) for i in range(SKETCH // 64)], 1)
+            plus = np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32)
+            total = np.add.reduceat(plus, np.r_[0, ends[:-1]], axis=0)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, _longs(2 * total > np.diff(np.r_[0, ends])[:, None])], ["id", "tokens", "sketch"])
+
+    return sets.select("id", "tokens").filter("size(tokens) > 0").mapInArrow(draw, "id long, tokens array<long>, sketch array<long>")
+
+
+def _mix(x: np.ndarray, salt: int) -> np.ndarray:
+    z = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(salt + 1)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    return z ^ (z >> np.uint64(31))
 
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,30 +83,34 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.select("id", "tokens", "n"), member
 
 
-def candidate_pairs(sets: DataFrame, threshold: float, runs: int | None = None, leaf: int = LEAF, levels: int = LEVELS, seed: int = 11) -> DataFrame:
-    """a < b: pairs of ids of sets(id, tokens) that met in a bucket."""
-    runs = runs or runs_for()
-    heads = sets.select("id", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("r")).select("id", F.xxhash64(F.lit(seed), "r").alias("path"))
-    met = None
+def candidate_pairs(sets: DataFrame, threshold: float, apart: int, runs: int | None = None, leaf: int = LEAF, levels: int = LEVELS, seed: int = 11) -> DataFrame:
+    """a < b: pairs of ids of sets(id, tokens, sketch) that met in a bucket with sketches at most `apart` bits from each other."""
+    runs = runs or runs_for(threshold)
+    roots = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("r")
+    grown = sets.select("id", "tokens", "sketch", roots).withColumn("path", F.xxhash64(F.lit(seed), "r"))
+    alike = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0)) <= apart
+    met, large = None, None
     for level in range(levels):
-        grown = heads.join(sets.select("id", "tokens"), "id") if level else sets.select("id", "tokens", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("r")).select("id", "tokens", F.xxhash64(F.lit(seed), "r").alias("path"))
-        step = grown.select("id", "path", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).withColumn("h", F.xxhash64("path", "t"))
+        step = grown.select("id", "sketch", "path", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).withColumn("h", F.xxhash64("path", "t"))
         chosen = F.pmod(F.col("h"), F.lit(1 << 24)) < F.lit(float(1 << 24)) / (F.lit(threshold) * F.col("n"))
-        rows = cut(step.filter(chosen).select("id", F.xxhash64("h", F.lit(level)).alias("path")).distinct())
-        sizes = rows.groupBy("path").count().filter("count > 1")
-        large = small_side(cut(sizes.filter(F.col("count") > leaf)))
-        small = rows.join(large, "path", "left_anti").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
-        pairs = small.select("ids", F.posexplode("ids").alias("i", "a")).select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
+        rows = cut(step.filter(chosen).select("id", "sketch", F.xxhash64("h", F.lit(level)).alias("path")))
+        large = cut(rows.groupBy("path").count().filter(F.col("count") > leaf))
+        some = not large.isEmpty()
+        side = small_side(large)
+        small = (rows.join(side, "path", "left_anti") if some else rows).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("id", "sketch"))).alias("in")).filter(F.size("in") > 1)
+        pairs = small.select("in", F.posexplode("in").alias("i", "x")).select("x", F.explode(F.expr("slice(in, i + 2, size(in))")).alias("y"))
+        pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.sketch").alias("sa"), F.col("y.sketch").alias("sb")).filter((F.col("a") < F.col("b")) & alike).select("a", "b")
         met = pairs if met is None else met.unionByName(pairs)
-        heads = rows.join(large.select("path"), "path", "left_semi")
-        if large.isEmpty():
+        if not some:
             return met.distinct()
+        heads = rows.join(side, "path", "left_semi")
+        grown = heads.join(sets.select("id", "tokens"), "id")
+    # Each pair of blocks of what is still large is one bucket: a row goes to all cells of its row and column.
     blocks = F.ceil(F.col("count") / leaf).cast("int")
-    rows = rows.join(large.select("path", blocks.alias("m")), "path").withColumn("block", F.pmod(F.xxhash64("id", "path"), F.col("m")).cast("int"))
-    # Each pair of blocks is one bucket: a row goes to all cells of its row and column.
-    left = rows.select("path", "id", F.col("block").alias("i"), F.explode(F.expr("sequence(block, m - 1)")).alias("j"))
-    right = rows.select("path", F.col("id").alias("other"), F.col("block").alias("j"), F.explode(F.expr("sequence(0, block)")).alias("i"))
-    rest = left.join(right, ["path", "i", "j"]).filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    rows = heads.join(small_side(large.select("path", blocks.alias("m"))), "path").withColumn("block", F.pmod(F.xxhash64("id", "path"), F.col("m")).cast("int"))
+    left = rows.select("path", F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("block").alias("i"), F.explode(F.expr("sequence(block, m - 1)")).alias("j"))
+    right = rows.select("path", F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("block").alias("j"), F.explode(F.expr("sequence(0, block)")).alias("i"))
+    rest = left.join(right, ["path", "i", "j"]).filter((F.col("a") != F.col("b")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.unionByName(rest).distinct()
 
 
@@ -87,8 +128,9 @@ def expand(pairs: DataFrame, nodes: DataFrame, member: DataFrame) -> DataFrame:
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """a < b: records whose token sets (id, tokens) have a Jaccard similarity of at least threshold."""
     nodes, member = classes(sets)
-    slim = nodes.select("id", "tokens")
-    met = candidate_pairs(slim, threshold)
+    slim = cut(sketched(nodes))
+    # Sets of Jaccard similarity s have as 0/1 vectors a cosine of at least 2 s / (1 + s).
+    met = cut(candidate_pairs(slim, threshold, bits_apart(2 * threshold / (1 + threshold))))
     both = met.join(slim.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
     both = both.join(slim.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").filter(F.least(F.size("ta"), F.size("tb")) >= F.lit(threshold) * F.greatest(F.size("ta"), F.size("tb")) - 1e-9)
     common = F.size(F.array_intersect("ta", "tb"))
@@ -97,31 +139,33 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def hyperplane_sets(df: DataFrame, id_col: str, vec_col: str, dim: int, tables: int = TABLES, bits: int = BITS, seed: int = 5) -> DataFrame:
-    """id, vec (stored values, binary), tokens: TABLES codes of BITS signs each, for the usable vectors."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits)).astype(np.float32)
+    """id, vec (stored values, binary), tokens, sketch: TABLES codes of BITS signs each, for the usable vectors."""
+    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits + SKETCH)).astype(np.float32)
 
     def code(batches):
         for b in batches:
             x = pl.matrix(b.column(1), dim)
             good = pl.good_rows(x)
             x = x[good]
-            signs = (pl.unit(x.astype(np.float64)) @ planes > 0).reshape(len(x), tables, bits)
-            tokens = (signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)).astype(np.int64)
+            signs = pl.unit(x.astype(np.float64)) @ planes > 0
+            tokens = np.zeros((len(x), tables), np.int64) + (np.arange(tables) << bits)
+            for i in range(bits):
+                tokens += signs[:, i * tables : (i + 1) * tables].astype(np.int64) << i
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, tables, dtype=np.int32)), pa.array(tokens.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), pl.binary(pl.to_bytes(x)), lists], ["id", "vec", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), pl.binary(pl.to_bytes(x)), lists, _longs(signs[:, tables * bits :])], ["id", "vec", "tokens", "sketch"])
 
     once = pl.usable(df, id_col, vec_col, dim)
-    return once.mapInArrow(code, "id long, vec binary, tokens array<long>").dropDuplicates(["id"])
+    return once.mapInArrow(code, "id long, vec binary, tokens array<long>, sketch array<long>").dropDuplicates(["id"])
 
 
 def similar_by_vector(df: DataFrame, id_col: str, vec_col: str, min_cos: float, dim: int = 48) -> DataFrame:
     """a < b: records whose vectors have a cosine (double, rounded to 6) of at least min_cos. Equal vectors are copies."""
     coded = cut(hyperplane_sets(df, id_col, vec_col, dim))
-    nodes = cut(coded.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("tokens").alias("tokens")))
+    nodes = cut(coded.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
     member = coded.join(nodes.filter("n > 1").select("vec", F.col("id").alias("first")), "vec").filter("id <> first").select(F.col("id").alias("member"), F.col("first").alias("id"))
     # Share of equal codes at the angle of min_cos, and from it the similarity of the sets.
     equal = (1 - math.acos(min_cos) / math.pi) ** BITS
-    met = candidate_pairs(nodes.select("id", "tokens"), 0.85 * equal / (2 - equal))
+    met = cut(candidate_pairs(nodes.select("id", "tokens", "sketch"), equal / (2 - equal), bits_apart(min_cos)))
 
     def near(batches):
         for b in batches:
