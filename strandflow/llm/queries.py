@@ -48,8 +48,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return connected_groups(pairs.unionByName(stars)).select(gs.alias("grp_seqnum"), gp.alias("grp_seqpos"), s.alias("seqnum"), p.alias("seqpos"))
 
 
+def p5_ids(spark: SparkSession, d: str) -> DataFrame:
+    from strandflow.llm.tokenizer import encode_documents
+
+    return encode_documents(read(spark, d, "documents"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    from strandflow.llm.packing import pack
+    from strandflow.llm.tokenizer import count_tokens
+
+    return pack(count_tokens(read(spark, d, "documents")))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_ids": p5_ids, "p6_containers": p6_containers}
 
 
 SQL = {
