@@ -61,8 +61,14 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(count_tokens(read(spark, d, "documents")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from strandflow.llm.stuffed import stuffed_documents
+
+    return stuffed_documents(read(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_ids": p5_ids, "p6_containers": p6_containers}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_ids": p5_ids, "p6_containers": p6_containers, "p7_found": p7_found}
 
 
 SQL = {
