@@ -29,7 +29,7 @@ from strandflow.session import cut
 #: Rows sought for a list, most lists (bounds the broadcast: 32,768 x 48 floats are 6 MB), sampled rows per list.
 LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST, MIN_SAMPLE = 512, 32_768, 64, 16_384
 MAX_SAMPLE = 262_144
-LINKS, ENTRIES, REPLICAS, RATIO = 16, 4, 5, 0.12
+LINKS, ENTRIES, REPLICAS, RATIO = 16, 1, 5, 0.12
 ASSIGNED = "list int, id long, w int, home boolean, rep long, vec binary"
 
 
@@ -68,7 +68,7 @@ def train_centroids(y: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
 class ListIndex:
     """Centroids with a graph over them. links: the nearest other centroids of each; near: per hub, its neighbourhood."""
 
-    def __init__(self, centroids: np.ndarray, seed: int = 7):
+    def __init__(self, centroids: np.ndarray, y: np.ndarray, seed: int = 7):
         self.c = centroids
         n = len(centroids)
         links = min(LINKS, n - 1)
@@ -80,7 +80,14 @@ class ListIndex:
         hubs = max(1, min(n, round(math.sqrt(n))))
         self.hubs, at = _lloyd(centroids, hubs, 4, np.random.default_rng(seed))
         cells = [np.flatnonzero(at == h) for h in range(hubs)]
-        self.near = [np.unique(np.concatenate([m, self.links[m].ravel()])) if len(m) else np.argsort(-(centroids @ self.hubs[h]))[: LINKS + 1] for h, m in enumerate(cells)]
+        near = [[m, self.links[m].ravel()] if len(m) else [np.argsort(-(centroids @ self.hubs[h]))[: LINKS + 1]] for h, m in enumerate(cells)]
+        # A hub also reaches every centroid that is among the nearest of a sampled vector of the hub.
+        top = min(REPLICAS, n)
+        for part in np.array_split(y[:MAX_LISTS * 2], max(1, len(y) // 4096)):
+            hub, best = (part @ self.hubs.T).argmax(1), np.argpartition(-(part @ centroids.T), top - 1, 1)[:, :top]
+            for h in np.unique(hub):
+                near[h].append(np.unique(best[hub == h]))
+        self.near = [np.unique(np.concatenate(x)) for x in near]
 
     def search(self, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the nearest centroids, best first; unfilled places have cosine -2."""
@@ -175,16 +182,7 @@ def fit(df: DataFrame, dim: int, list_rows: int = LIST_ROWS, seed: int = 7) -> L
     if not table.num_rows:
         return None
     y = unit(from_binary(table["vec"], dim))
-    index = ListIndex(train_centroids(y, lists, seed), seed)
-    if lists > 1:
-        for _ in range(2):  # whole-sample rounds through the graph
-            at = np.concatenate([index.search(y[i : i + 8192], 1)[0][:, 0] for i in range(0, len(y), 8192)])
-            order = np.argsort(at, kind="stable")
-            used, first = np.unique(at[order], return_index=True)
-            c = index.c.copy()
-            c[used] = unit(np.add.reduceat(y[order], first))
-            index = ListIndex(c, seed)
-    return index
+    return ListIndex(train_centroids(y, lists, seed), y[np.random.default_rng(seed).permutation(len(y))], seed)
 
 
 def assign(df: DataFrame, index: ListIndex, dim: int, copies: int, replicas: int = REPLICAS, ratio: float = RATIO) -> DataFrame:
