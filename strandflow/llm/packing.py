@@ -69,4 +69,5 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Data
             "start": column(full[open_] * capacity, part * capacity), "n_tokens": column(rest[open_], np.full(len(own), capacity)).astype(np.int32),
         })
 
-    return sizes.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")).applyInArrow(run, PACKED)
+    spread = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).repartition(shards, "shard")  # small in bytes: keep the tasks apart
+    return spread.groupBy("shard").applyInArrow(run, PACKED)

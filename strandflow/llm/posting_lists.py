@@ -29,7 +29,7 @@ from strandflow.session import cut
 #: Rows sought for a list, most lists (bounds the broadcast: 32,768 x 48 floats are 6 MB), sampled rows per list.
 LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST, MIN_SAMPLE = 512, 32_768, 64, 16_384
 MAX_SAMPLE = 262_144
-LINKS, ENTRIES, REPLICAS, RATIO = 16, 1, 5, 0.12
+LINKS, ENTRIES, REPLICAS, RATIO = 16, 1, 5, 0.10
 ASSIGNED = "list int, id long, w int, home boolean, rep long, vec binary"
 
 
@@ -178,7 +178,7 @@ def fit(df: DataFrame, dim: int, list_rows: int = LIST_ROWS, seed: int = 7) -> L
             x = matrix(b.column(1), dim)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(g := good_rows(x))), binary(to_bytes(x[g]))], ["id", "vec"])
 
-    table = picked.mapInArrow(packed, "id long, vec binary").limit(MAX_SAMPLE).toArrow().sort_by("id")
+    table = picked.mapInArrow(packed, "id long, vec binary").toArrow().sort_by("id").slice(0, MAX_SAMPLE)
     if not table.num_rows:
         return None
     y = unit(from_binary(table["vec"], dim))
