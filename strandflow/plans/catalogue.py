@@ -144,9 +144,9 @@ def rbh(s, d):
     return hits.reciprocal(hits.best_hits(T.residues(s, d))).select("fasta", "q", "q_seq", "q_pos", "t", "t_seq", "t_pos", "sim")
 
 
-@query(f"with {HITS} select q_seq, t_seq, count(*) as hits, round(sum(sim), 5) as sum_sim from h group by 1, 2")
+@query(f"with {HITS} select q_seq, t_seq, count(*) as hits, round(sum(sim), 6) as sum_sim from h group by 1, 2")
 def no_rbh(s, d):
-    return hits.best_hits(T.residues(s, d)).groupBy("q_seq", "t_seq").agg(F.count("*").alias("hits"), F.round(F.sum("sim"), 5).alias("sum_sim"))
+    return hits.best_hits(T.residues(s, d)).groupBy("q_seq", "t_seq").agg(F.count("*").alias("hits"), F.round(F.sum("sim"), 6).alias("sum_sim"))
 
 
 @query(f"with {RES}, {UNIT}, p as (select a.idx as q, b.idx as t, round(array_inner_product(a.u, b.u), 6) as sim from n a join n b on a.fasta = b.fasta and a.idx <> b.idx), k as (select *, row_number() over (partition by q order by sim desc, t)::int as rank from p) select * from k where rank <= 5")
