@@ -26,9 +26,10 @@ from pyspark.sql import Window
 
 from strandflow.session import cut
 
-#: Rows sought for a list, most lists (bounds the broadcast: 32,768 x 48 floats are 6 MB), sampled rows per list.
-LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST, MIN_SAMPLE = 512, 32_768, 64, 16_384
-MAX_SAMPLE = 262_144
+#: Rows sought for a list, most lists (bounds the broadcast: 4,096 x 48 floats are 0.8 MB), sampled rows per list and in all;
+#: beyond 2 million rows lists grow, so that each still has 64 sampled rows, on which recall depends.
+LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST, MIN_SAMPLE = 512, 4_096, 64, 16_384
+MAX_SAMPLE, NEAR_SAMPLE = 262_144, 65_536
 LINKS, ENTRIES, REPLICAS, RATIO = 16, 1, 5, 0.10
 ASSIGNED = "list int, id long, w int, home boolean, rep long, vec binary"
 
@@ -83,7 +84,7 @@ class ListIndex:
         near = [[m, self.links[m].ravel()] if len(m) else [np.argsort(-(centroids @ self.hubs[h]))[: LINKS + 1]] for h, m in enumerate(cells)]
         # A hub also reaches every centroid that is among the nearest of a sampled vector of the hub.
         top = min(REPLICAS, n)
-        for part in np.array_split(y[:MAX_LISTS * 2], max(1, len(y) // 4096)):
+        for part in np.array_split(y[:NEAR_SAMPLE], max(1, min(len(y), NEAR_SAMPLE) // 4096)):
             hub, best = (part @ self.hubs.T).argmax(1), np.argpartition(-(part @ centroids.T), top - 1, 1)[:, :top]
             for h in np.unique(hub):
                 near[h].append(np.unique(best[hub == h]))
