@@ -315,6 +315,20 @@ def mnc_weight(s, d):
     return chains.chain_sizes(T.matches(s, d).filter("sim > 0"), weighted=True)
 
 
+@query()
+def pca_reduce(s, d):
+    from strandflow.operators import reduce
+
+    return reduce.pca(T.residues(s, d), 8).select("idx", "reduced")
+
+
+@query()
+def combat(s, d):
+    from strandflow.operators import reduce
+
+    return reduce.combat(T.residues(s, d).select("fasta", "seqnum", "idx", "emb")).select("idx", V.rounded(F.col("emb"), 4).alias("emb"))
+
+
 LAB = "select distinct protein, aa1, aa2, label from labels_ref where label is not null"
 FND = f"select distinct fasta as protein, trim(aa1) as aa1, trim(aa2) as aa2 from rbh where sim >= 0.7 and not isnan(sim) and aa1 is not null and aa2 is not null"
 
