@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandflow.functions import vectors as V
-from strandflow.operators import chains, columns, evaluate, graph, hits
+from strandflow.operators import centrality, chains, columns, evaluate, filling, graph, hits, order
 from strandflow.sources import tables as T
 
 RES = """r0 as (select distinct on (idx) seqnum, seqindex, seqpos, coalesce(upper(seqaa), 'X') as seqaa, idx, fasta, aa_embeddings::double[] as v from residues
@@ -278,6 +278,76 @@ def gap_best_cluster(s, d):
     return mean.withColumn("n", F.row_number().over(Window.partitionBy("seqnum", "seqpos").orderBy(F.desc("mean_sim"), "clustid"))).filter("n = 1").drop("n")
 
 
+POT = f"""{OE}, bt as materialized (select c1 as c, c2 as ot, -1 as step, weight from oe union all select c2, c1, 1, weight from oe), p0 as (select clustid, avg(seqpos) as x from o group by 1),
+{", ".join(f"p{i + 1} as materialized (select p{i}.clustid, coalesce((p{i}.x + y) / 2, p{i}.x) as x from p{i} left join (select c, sum(weight * (x + step)) / sum(weight) as y from bt join p{i} on clustid = ot group by 1) on c = p{i}.clustid)" for i in range(order.ROUNDS))},
+od as (select clustid, (row_number() over (order by round(x, 9), clustid) - 1)::int as col from p{order.ROUNDS})"""
+
+
+@query(f"with {POT} select * from od")
+def column_order(s, d):
+    return order.column_order(_placed(s, d))
+
+
+@query(f"with {POT} select c1, c2, weight from oe join od a on a.clustid = c1 join od b on b.clustid = c2 where a.col > b.col")
+def feedback_arcs(s, d):
+    placed = _placed(s, d)
+    return order.feedback_arcs(placed, order.column_order(placed))
+
+
+@query(f"with {POT}, f as (select c1, c2 from oe join od a on a.clustid = c1 join od b on b.clustid = c2 where a.col > b.col), st as (select c, sum(weight) as s from bt group by 1), w as (select case when a.s >= 2 * b.s then c2 when b.s >= 2 * a.s then c1 end as clustid from f join st a on a.c = c1 join st b on b.c = c2) select distinct clustid from w where clustid is not null")
+def weaker_ends(s, d):
+    placed = _placed(s, d)
+    return order.weaker_ends(order.feedback_arcs(placed, order.column_order(placed)), placed)
+
+
+@query()
+def consistent_members(s, d):
+    placed = _placed(s, d)
+    return order.consistent(placed, order.column_order(placed))
+
+
+@query(f"with {COLS}, x as (select *, lag(clustid) over w as pv, lead(clustid) over w as nx from k window w as (partition by seqnum order by seqpos, clustid)), y as (select *, count(*) over (partition by clustid, seqnum) as times from x),"
+       " pb as (select distinct clustid, pv from y where times = 1), nb as (select distinct clustid, nx from y where times = 1), j as (select y.*, ((clustid, pv) in (select (clustid, pv) from pb where pv is not null) or (clustid, nx) in (select (clustid, nx) from nb where nx is not null))::int as a from y where times > 1),"
+       " q as (select *, sum(a) over (partition by clustid, seqnum) as winners from j) select seqnum, seqpos, clustid from y where times = 1 union all select seqnum, seqpos, clustid from q where winners <> 1 or a = 1")
+def doubles_by_consistency(s, d):
+    return order.agreeing_doubles(T.columns(s, d))
+
+
+@query(f"with {RES}, {PLACED} select seqnum, seqpos, -idx - 2 as clustid from r0 where not exists (select 1 from o where o.seqnum = r0.seqnum and o.seqpos = r0.seqpos)")
+def singleton_columns(s, d):
+    return filling.singletons(T.residues(s, d, vectors=False), _placed(s, d))
+
+
+@query()
+def gap_islands(s, d):
+    """Open residues of each file by groups of overlapping gaps."""
+    res, placed = T.residues(s, d, vectors=False), _placed(s, d)
+    placed = placed.join(res.select("seqnum", "fasta").distinct(), "seqnum")
+    o = order.column_order(placed, group="fasta")
+    return filling.gap_islands(filling.open_residues(res, placed, o), placed, o, res)
+
+
+@query(f"with recursive {GE}, e as (select src, dst from g where w >= 0.8 union select dst, src from g where w >= 0.8), wk as (select distinct src as s, src as v, 0 as l, 1.0::double as n from e union all select s, dst, l + 1, sum(n) from wk join e on src = v where l < 40 group by s, dst, l),"
+       " sp as materialized (select s, v, min(l) as d, arg_min(n, l) as n from wk group by 1, 2), b as (select x.v, sum(x.n * y.n / z.n) / 2 as b from sp x join sp y on y.s = x.v join sp z on z.s = x.s and z.v = y.v where x.s <> x.v and y.v <> x.v and x.s <> y.v and x.d + y.d = z.d group by 1), c as (select s as v, count(*) as n from sp group by 1)"
+       " select v as vertex, n, round(case when n > 2 then coalesce(b, 0) / ((n - 1) * (n - 2) / 2) else 0 end, 6) as betweenness from c left join b using (v)")
+def betweenness(s, d):
+    return centrality.betweenness(_edges(s, d, 0.8))
+
+
+@query()
+def hub_scores(s, d):
+    e = _edges(s, d, 0.8)
+    return centrality.hub_scores(e, graph.components(e)).withColumn("hub", F.round("hub", 4))
+
+
+@query()
+def aligned(s, d):
+    """The whole alignment: every residue with its column."""
+    from strandflow.plans.align import align
+
+    return align(T.residues(s, d))
+
+
 @query(f"with {RES}, {PLACED}, {COL}, a as (select seqnum, col, arg_min(seqaa, seqpos) as aa from o join r0 using (seqnum, seqpos) join c using (clustid) group by 1, 2), t as (select s.seqnum, c.col, coalesce(aa, '-') as aa from (select distinct seqnum from a) s cross join c left join a on a.seqnum = s.seqnum and a.col = c.col) select seqnum, string_agg(aa, '' order by col) as \"row\" from t group by 1")
 def alignment_rows(s, d):
     placed = _placed(s, d)
