@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandflow.session import cut, drop_cut
@@ -43,8 +42,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def outliers(strengths: DataFrame, cutoff: float = -5.0, weak: float = 0.8) -> DataFrame:
     """(grp, vertex, strength) -> z of each vertex against the others of its group and whether it is dropped."""
-    w = Window.partitionBy("grp")
-    n, total, sd = F.count("*").over(w), F.sum("strength").over(w), F.stddev_pop("strength").over(w)
-    rest = (total - F.col("strength")) / (n - 1)
-    df = strengths.withColumns({"n": n, "z": F.when((n > 3) & (sd > 0), (F.col("strength") - rest) / sd)})
+    whole = strengths.groupBy("grp").agg(F.count("*").alias("n"), F.sum("strength").alias("total"), F.stddev_pop("strength").alias("sd"))
+    rest = (F.col("total") - F.col("strength")) / (F.col("n") - 1)
+    df = strengths.join(whole, "grp").withColumn("z", F.when((F.col("n") > 3) & (F.col("sd") > 1e-9), (F.col("strength") - rest) / F.col("sd")))
     return df.select("grp", "vertex", F.round("strength", 6).alias("strength"), F.round("z", 4).alias("z"), F.coalesce((F.col("z") < cutoff) & (F.col("strength") / (F.col("n") - 1) <= weak), F.lit(False)).alias("dropped"))

@@ -76,13 +76,16 @@ def restricted(hits: DataFrame, scope: DataFrame) -> DataFrame:
     return hits.join(scope.select(F.col("idx").alias("q")), "q", "left_semi").join(scope.select(F.col("idx").alias("t")), "t", "left_semi")
 
 
-def sequence_similarities(vectors: DataFrame) -> DataFrame:
-    """seq1 < seq2, seqsim, seqlen1, seqlen2, correctedseqsim for pairs of sequences of one file."""
-    from strandflow.functions.vectors import dot, length_correction, norm
-
-    v = vectors.select("fasta", "seqnum", "seqlen", "emb", norm(F.col("emb")).alias("n"))
-    a, b = v.alias("a"), v.alias("b")
-    pairs = a.join(b, (F.col("a.fasta") == F.col("b.fasta")) & (F.col("a.seqnum") < F.col("b.seqnum")))
-    sim = F.round(dot(F.col("a.emb"), F.col("b.emb")) / (F.col("a.n") * F.col("b.n")), 6)
-    rows = pairs.select(F.col("a.seqnum").alias("seq1"), F.col("b.seqnum").alias("seq2"), sim.alias("seqsim"), F.col("a.seqlen").alias("seqlen1"), F.col("b.seqlen").alias("seqlen2"))
-    return rows.withColumn("correctedseqsim", F.round(F.col("seqsim") * length_correction(F.col("seqlen1"), F.col("seqlen2")), 6))
+def sequence_similarities(vectors: DataFrame, minscore: float = -2.0) -> DataFrame:
+    """seq1 < seq2, seqsim, seqlen1, seqlen2, correctedseqsim for the pairs of sequences of one file from minscore up.
+
+    The same blocks as for residues, so pairs below minscore never leave their task and a file is spread over many.
+    The correction only lowers a similarity, so minscore may also serve for the corrected one.
+    """
+    from strandflow.functions.vectors import length_correction
+
+    rows = vectors.select("fasta", "seqnum", F.lit(0).alias("seqpos"), F.col("seqnum").cast("long").alias("idx"), "emb")
+    pairs = neighbours(rows, 1, True, minscore).filter("q_seq < t_seq").select(F.col("q_seq").alias("seq1"), F.col("t_seq").alias("seq2"), F.col("sim").alias("seqsim"))
+    size = lambda s, n: vectors.select(F.col("seqnum").alias(s), F.col("seqlen").alias(n))
+    df = pairs.join(size("seq1", "seqlen1"), "seq1").join(size("seq2", "seqlen2"), "seq2").select("seq1", "seq2", "seqsim", "seqlen1", "seqlen2")
+    return df.withColumn("correctedseqsim", F.round(F.col("seqsim") * length_correction(F.col("seqlen1"), F.col("seqlen2")), 6))

@@ -162,12 +162,12 @@ def restricted_hits(s, d):
 
 @query(f"with {SEQ} select seq1, seq2, seqsim, seqlen1, seqlen2 from y where seqsim >= 0.7")
 def seqsim_edges(s, d):
-    return hits.sequence_similarities(T.sequence_vectors(s, d)).filter("seqsim >= 0.7").drop("correctedseqsim")
+    return hits.sequence_similarities(T.sequence_vectors(s, d), 0.7).drop("correctedseqsim")
 
 
 @query(f"with {SEQ} select *, round(seqsim * (1 - abs(0.5 - seqlen1 / (seqlen1 + seqlen2))), 6) as correctedseqsim from y where round(seqsim * (1 - abs(0.5 - seqlen1 / (seqlen1 + seqlen2))), 6) >= 0.7")
 def seqsim_corrected(s, d):
-    return hits.sequence_similarities(T.sequence_vectors(s, d)).filter("correctedseqsim >= 0.7")
+    return hits.sequence_similarities(T.sequence_vectors(s, d), 0.7).filter("correctedseqsim >= 0.7")
 
 
 @query("select distinct least(seq1, seq2) as src, greatest(seq1, seq2) as dst, max(sim) over (partition by least(seq1, seq2), greatest(seq1, seq2)) as w from rbh where seq1 <> seq2 and not isnan(sim) and sim is not null")
