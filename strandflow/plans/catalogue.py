@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandflow.functions import vectors as V
-from strandflow.operators import centrality, chains, columns, evaluate, filling, graph, hits, order
+from strandflow.operators import centrality, chains, columns, communities, evaluate, filling, graph, hits, order
 from strandflow.sources import tables as T
 
 RES = """r0 as (select distinct on (idx) seqnum, seqindex, seqpos, coalesce(upper(seqaa), 'X') as seqaa, idx, fasta, aa_embeddings::double[] as v from residues
@@ -340,6 +340,13 @@ def hub_scores(s, d):
     return centrality.hub_scores(e, graph.components(e)).withColumn("hub", F.round("hub", 4))
 
 
+@query()
+def sequence_groups(s, d):
+    """Groups of similar sequences of each file; put aside ones have no group."""
+    sims = hits.sequence_similarities(T.sequence_vectors(s, d), 0.7).filter("correctedseqsim >= 0.7")
+    return communities.sequence_groups(sims.select(F.col("seq1").alias("src"), F.col("seq2").alias("dst"), F.col("correctedseqsim").alias("w")))
+
+
 @query()
 def aligned(s, d):
     """The whole alignment: every residue with its column."""
