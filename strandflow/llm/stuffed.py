@@ -1,7 +1,8 @@
 """Keyword-stuffed and link-list pages.
 
-Of each page the sender's own words are taken (decoded body, without headers, quotes, signature, attachments, logs,
-tables, sequences). A suffix automaton over its words gives the characters covered by repeated maximal substrings.
+Of each page the sender's own words are taken (decoded plain and HTML body, without headers, quotes, signature,
+attachments, logs, tables, sequences); what the HTML says again counts once. A suffix automaton over the words of
+either body gives the characters covered by repeated maximal substrings.
 Items without clause structure (no function words) that are covered by repeats, are links, or form a list are stuffing;
 a page is a case when these are more than half of its own characters.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import binascii
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,9 +104,10 @@ def _plain(markup: str) -> str:
     return html.unescape(re.sub(r"<(?!https?:|www\.)/?[a-zA-Z!][^>]*>", " ", markup))
 
 
-def body_of(text: str) -> str:
-    """The decoded plain text of a message, or of its HTML where there is no plain text."""
-    return _unbroken(_message(text, 0))
+def bodies_of(text: str) -> tuple[str, str]:
+    """The decoded plain text of a message, and its HTML as plain text; either may be empty."""
+    leaves = _leaves(text)
+    return tuple(_unbroken("\n\n".join(t for k, t in leaves if k == kind)) for kind in ("plain", "html"))
 
 
 def _unbroken(text: str) -> str:
@@ -117,28 +120,24 @@ def _unbroken(text: str) -> str:
     return text
 
 
-def _message(text: str, depth: int) -> str:
-    fields, body = _headers(text.replace("\r\n", "\n").replace("\r", "\n"))
-    kind = fields.get("content-type", "").lower()
-    mark = re.search(r"boundary=\"?([^\";\s]+)", fields.get("content-type", "")) or (None if kind.startswith("text/") else re.search(r"(?m)^--(\S{6,})\nContent-", body))
-    if mark and depth < 3:
-        found: dict[str, list[str]] = {"plain": [], "html": []}
-        for part in re.split(r"(?m)^--" + re.escape(mark[1]) + r"(?:--)?[ \t]*$\n?", body)[1:]:
-            if not part.strip():
-                continue
-            inner, rest = _headers(part.lstrip("\n"))
-            what = inner.get("content-type", "text/plain").lower()
-            if what.startswith("multipart/"):
-                found["plain"].append(_message(part.lstrip("\n"), depth + 1))
-            elif "attachment" in inner.get("content-disposition", "").lower():
-                continue
-            elif what.startswith("text/html"):
-                found["html"].append(_plain(_decoded(inner, rest)))
-            elif what.startswith("text/"):
-                found["plain"].append(_decoded(inner, rest))
-        return next((t for kind in ("plain", "html") if (t := "\n\n".join(found[kind])).strip()), "")
-    body = _decoded(fields, body)
-    return _plain(body) if kind.startswith("text/html") or re.search(r"(?i)<html|<p style|<body", body[:2000]) else body
+def _leaves(text: str) -> list[tuple[str, str]]:
+    """("plain" or "html", decoded text) of the text parts of a message in their order, however deep they are nested."""
+    found, todo, whole = [], [text.replace("\r\n", "\n").replace("\r", "\n")], True
+    while todo:
+        fields, body = _headers(todo.pop())
+        kind = fields.get("content-type", "" if whole else "text/plain").lower()
+        mark = None
+        if whole or kind.startswith("multipart/"):
+            mark = re.search(r"boundary=\"?([^\";\s]+)", fields.get("content-type", "")) or (None if kind.startswith("text/") else re.search(r"(?m)^--(\S{6,})\nContent-", body))
+        if mark:
+            parts = re.split(r"(?m)^--" + re.escape(mark[1]) + r"(?:--)?[ \t]*$\n?", body)[1:]
+            todo += [p.lstrip("\n") for p in reversed(parts) if p.strip()]
+        elif whole or kind.startswith(("text/", "multipart/")) and "attachment" not in fields.get("content-disposition", "").lower():
+            body = _decoded(fields, body)
+            markup = kind.startswith("text/html") or re.search(r"(?i)<html|<p style|<body", body)
+            found.append(("html", _plain(body)) if markup else ("plain", body))
+        whole = False
+    return found
 
 
 def own_items(body: str) -> list[str]:
@@ -219,9 +218,26 @@ def repeated(symbols: list) -> list[int]:
     return [best[v] for v in ends]
 
 
+def _said(item: str) -> str:
+    """An item as it is compared between bodies: its words and links without bullet, blanks and punctuation."""
+    return " ".join(WORD.findall(item.lower()))
+
+
 def stuffing(text: str) -> tuple[int, int]:
-    """Characters of stuffing and of everything the sender wrote."""
-    items = own_items(body_of(text))
+    """Characters of stuffing and of everything the sender wrote; items of the HTML that the plain text has count once."""
+    plain, markup = map(own_items, bodies_of(text))
+    stuffed, total = map(sum, zip((0, 0), *_judged(plain)))
+    known = Counter(map(_said, plain))
+    for item, (s, n) in zip(markup, _judged(markup)):
+        if known[said := _said(item)]:
+            known[said] -= 1
+        else:
+            stuffed, total = stuffed + s, total + n
+    return stuffed, total
+
+
+def _judged(items: list[str]) -> list[tuple[int, int]]:
+    """Of each item of one body the characters of stuffing and all."""
     parsed, symbols = [], []
     for item in items:
         bare = BULLET.sub("", item)
@@ -250,25 +266,25 @@ def stuffing(text: str) -> tuple[int, int]:
         listed = len(pieces) >= 6 and len(plain) <= 3.5 * len(pieces) and stops * 6 <= len(pieces) and not kana >= max(3, 0.2 * (len(bare) - links))
         judged.append((len(bare), links, clause, repeats, len(pieces), len(plain), stops, listed))
     loose = sum(1 for _, links, clause, *_ in judged if not clause and not links)
-    stuffed = total = 0
+    out = []
     for chars, links, clause, repeats, pieces, words, stops, listed in judged:
-        total += chars
         if listed or links and (words <= (6 if clause else 8) and not stops or links > 0.6 * chars and not clause):
-            stuffed += chars
-        elif not clause and words >= 2 and (repeats >= 0.5 and words >= 6 or pieces >= 4 and words <= 6 * pieces or loose >= 4 and words <= 6):
-            stuffed += chars
-    return stuffed, total
+            stuffed = True
+        else:
+            stuffed = not clause and words >= 2 and (repeats >= 0.5 and words >= 6 or pieces >= 4 and words <= 6 * pieces or loose >= 4 and words <= 6)
+        out.append((chars if stuffed else 0, chars))
+    return out
 
 
-def stuffed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5, least: int = 40) -> DataFrame:
-    """id_col of the pages of which more than `share` of the sender's own characters, and at least `least`, are stuffing."""
+def stuffed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5) -> DataFrame:
+    """id_col of the pages of which more than `share` of the sender's own characters are stuffing."""
 
     def run(batches):
         for b in batches:
             ids = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 stuffed, total = stuffing(text)
-                if stuffed > share * total and stuffed >= least:
+                if stuffed > share * total:
                     ids.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], [id_col])
 

@@ -153,6 +153,32 @@ def test_stuffed(spark, text, case):
     assert [r["doc_id"] for r in stuffed.stuffed_documents(df).collect()] == ([1] if case else [])
 
 
+def _multipart(parts, mark="=_b"):
+    return f"Content-Type: multipart/alternative; boundary=\"{mark}\"\n\n" + "".join(f"--{mark}\n{p}\n" for p in parts) + f"--{mark}--\n"
+
+
+def test_stuffed_in_any_part(spark):
+    """The HTML part counts beside the plain one, once where both say the same; at any depth, length and place."""
+    words = "garden hose * lab coat * travel mug * cheap lab coat * " * 6
+    plain = lambda t: f"Content-Type: text/plain\n\n{t}"
+    page = lambda t: f"Content-Type: text/html\n\n<html><body><p>{t}</p></body></html>"
+    nested = plain(words)
+    for i in range(6):
+        nested = _multipart([nested], f"=_b{i}")
+    clauses = "We have seen that the coat is in the lab and that it was not as cheap as the mug. " * 3
+    texts = {
+        1: (_multipart([plain("We will be in the lab until Friday."), page(words)]), True),
+        2: (_multipart([plain(clauses * 3), page(words)]), False),
+        3: (_multipart([plain(words[: len(words) // 6]), page(clauses[: len(clauses) // 3])]), False),
+        4: (_multipart([plain(clauses + "\n\n" + words), page(clauses + "</p><p>" + words)]), len(words) > len(clauses)),
+        5: (nested, True),
+        6: ("Subject: x\n\nlab coat; gel comb; lab coat; gel comb", True),
+        7: ("Subject: x\n\n" + " " * 2500 + "<html><body><blockquote>" + words + "</blockquote><p>That is what we have seen.</p></body></html>", False),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"] for r in stuffed.stuffed_documents(df).collect()} == {i for i, (_, case) in texts.items() if case}
+
+
 def test_suffix_automaton_against_all_substrings():
     rng = np.random.default_rng(9)
     for _ in range(50):
