@@ -62,6 +62,30 @@ def test_clusters(spark):
     assert markov.clique_clusters(df.limit(0), "id", "vec").count() == 0
 
 
+def test_cluster_over_many_lists(spark):
+    """A ball of rows that never all meet in a list is one cluster."""
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((2, 48))
+    near = [a + 0.05 * rng.standard_normal(48) for _ in range(6000)] + [b + 0.05 * rng.standard_normal(48) for _ in range(5)]
+    df = spark.createDataFrame([(i, x.astype(np.float32).tolist(), 1, "x") for i, x in enumerate(near)], VEC)
+    got = markov.clique_clusters(df, "id", "vec").toPandas()
+    assert got.groupby("clust").id.count().to_dict() == {0: 6000, 6000: 5}
+    x = np.array(near[:6000], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean = np.round((x @ x.sum(0) - 1) / 5999, 6)
+    assert got[got.role == "typical"].id.tolist().count(int(mean.argmax())) == 1 and (got.role == "typical").sum() == 2
+
+
+def test_large_candidate_that_is_no_cluster(spark):
+    """Blocks put aside a large candidate with one pair below the threshold, and sum over all its blocks."""
+    x = np.tile([1.0, 0.0], (3000, 1)) + 1e-3 * np.random.default_rng(0).standard_normal((3000, 2))
+    x[2999] = [0.5, 1.0]
+    rows = spark.createDataFrame([(c, i, 1, bytearray(v.tobytes())) for c in (1, 2) for i, v in enumerate(x[: 3000 if c == 1 else 2999])], "cluster long, id long, w int, vec binary")
+    large = spark.createDataFrame([(1, 3, 3000), (2, 3, 2999)], "cluster long, m int, total long")
+    got = markov._checked_by_blocks(rows, large, 2, 0.9, 3).toPandas()
+    assert len(got) == 2999 and set(got.clust) == {0} and got.typical.sum() == 1
+
+
 def test_markov_flow_parts_two_groups(spark):
     edges = [(a, b, 1.0) for g in (range(5), range(10, 15)) for a, b in itertools.combinations(g, 2)] + [(4, 10, 0.1), (1, None, 1.0), (2, 2, 1.0)]
     got = {r["id"]: r["cluster"] for r in markov.markov_clusters(spark.createDataFrame(edges, "src long, dst long, w double")).collect()}
