@@ -76,6 +76,11 @@ def test_cluster_over_many_lists(spark):
     assert got[got.role == "typical"].id.tolist().count(int(mean.argmax())) == 1 and (got.role == "typical").sum() == 2
 
 
+def test_markov_lone_loops(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (7, 7, 1.0), (2, 2, 1.0)], "src long, dst long, w double")
+    assert {r["id"]: r["cluster"] for r in markov.markov_clusters(edges).collect()} == {1: 1, 2: 1, 7: 7}
+
+
 def test_large_candidate_that_is_no_cluster(spark):
     """Blocks put aside a large candidate with one pair below the threshold, and sum over all its blocks."""
     x = np.tile([1.0, 0.0], (3000, 1)) + 1e-3 * np.random.default_rng(0).standard_normal((3000, 2))
