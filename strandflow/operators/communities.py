@@ -1,8 +1,9 @@
 """Communities by short random walks, of all components at once.
 
 Clusters that are alike as starting points of short walks are merged. In every round all pairs of linked clusters that are
-each other's nearest merge at once, so the rounds grow with the depth of the hierarchy and not with the merges; per
-component the round of greatest modularity is taken. Rows are bounded by each vertex's neighbourhood of `steps` steps.
+each other's nearest merge at once, and all linked clusters with the same walk (gap 0) whatever their number; other ties are
+ordered by a hash, so that many pairs merge. Rounds go on until no link is left; a hub with many equal leaves takes one
+round a leaf, as a round takes one leaf into it. Per component the round of greatest modularity is taken. Rows are bounded by each vertex's neighbourhood of `steps` steps.
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from strandflow.operators import graph
 from strandflow.session import cut
 
 
-def communities(edges: DataFrame, steps: int = 3, rounds: int = 40) -> DataFrame:
-    """vertex, community (its smallest vertex) for undirected edges (src, dst, w); parallel edges are added, loops, null ends and w <= 0 left out."""
+def communities(edges: DataFrame, steps: int = 3, rounds: int = 10_000) -> DataFrame:
+    """vertex, community (its smallest vertex) for undirected edges (src, dst, w); parallel edges are added, loops, null ends and w <= 0 left out.
+
+    Raises where links are left after `rounds` rounds; every round merges at least one pair.
+    """
     e = cut(graph.simplify(edges.filter("src is not null and dst is not null and w > 0").select("src", "dst", "w"), "sum"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     power = graph.strength(e)
@@ -46,9 +50,14 @@ def communities(edges: DataFrame, steps: int = 3, rounds: int = 40) -> DataFrame
         far = links.join(dots, ["a", "b"], "left").join(at("a"), "a").join(at("b"), "b")
         gap = F.round(F.col("sa") * F.col("sb") / (F.col("sa") + F.col("sb")) * (F.col("la") + F.col("lb") - 2 * F.coalesce("dot", F.lit(0.0))), 12)
         far = cut(far.select("a", "b", gap.alias("gap")))
-        nearest = far.select(F.explode(F.array("a", "b")).alias("c"), F.struct("gap", "a", "b").alias("best")).groupBy("c").agg(F.min("best").alias("best"))
-        merged = nearest.groupBy("best.a", "best.b").agg(F.count("*").alias("n")).filter("n = 2")  # the least pair of all always is
-        into = cut(merged.select(F.col("b").alias("c"), F.col("a").alias("into")))
+        tie = F.xxhash64("a", "b", F.lit(level))
+        nearest = far.select(F.explode(F.array("a", "b")).alias("c"), F.struct("gap", tie.alias("tie"), "a", "b").alias("best")).groupBy("c").agg(F.min("best").alias("best"))
+        mutual = nearest.groupBy("best.a", "best.b").agg(F.count("*").alias("n")).filter("n = 2").select("a", "b")  # the least pair of all always is
+        # Of clusters with equal walks none is nearer than the others: they are one, with all that are linked so.
+        equal = graph.components(far.filter("gap <= 0").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        alike = cut(equal.select(F.col("vertex").alias("c"), F.col("component").alias("into")))
+        other = mutual.join(alike.select(F.col("c").alias("a")), "a", "left_anti").join(alike.select(F.col("c").alias("b")), "b", "left_anti")
+        into = cut(alike.filter("c <> into").unionByName(other.select(F.col("b").alias("c"), F.col("a").alias("into"))))
         moved = lambda df, n="c": df.join(into.select(F.col("c").alias(n), "into"), n, "left").withColumn(n, F.coalesce("into", n)).drop("into")  # noqa: E731, B023
         x = cut(moved(x.join(nodes.select("c", "s"), "c")).groupBy("c", "k").agg(F.sum(F.col("s") * F.col("p")).alias("p")).join(moved(nodes).groupBy("c").agg(F.sum("s").alias("s")), "c").select("c", "k", (F.col("p") / F.col("s")).alias("p")))
         bare = moved(moved(links, "a"), "b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w"))
@@ -57,19 +66,21 @@ def communities(edges: DataFrame, steps: int = 3, rounds: int = 40) -> DataFrame
         nodes = cut(moved(nodes).groupBy("c", "component").agg(F.sum("s").alias("s"), F.sum("vol").alias("vol"), F.sum("inside").alias("inside")).join(gained, "c", "left").withColumn("inside", F.col("inside") + F.coalesce("more", F.lit(0.0))).drop("more"))
         member = cut(moved(member))
         links = bare.filter("a <> b")
+    else:
+        raise RuntimeError(f"links are left after {rounds} rounds")
     union = lambda dfs: reduce(DataFrame.unionByName, dfs)
     best = union([q for q, _ in levels]).groupBy("component").agg(F.max_by("level", F.struct("q", -F.col("level"))).alias("level"))
     return union([m for _, m in levels]).join(part, "vertex").join(best, ["component", "level"]).select("vertex", F.col("c").alias("community"))
 
 
-def sequence_groups(edges: DataFrame, cutoff: float = -5.0, rounds: int = 5, steps: int = 3) -> DataFrame:
+def sequence_groups(edges: DataFrame, cutoff: float = -5.0, steps: int = 3) -> DataFrame:
     """vertex, community of similar sequences, edges (src, dst, w) being their similarities; community is null for those put aside.
 
     Sequences much less similar to their group than its others are put aside and the rest grouped again, until none is.
     """
     e = cut(graph.simplify(edges.filter("src is not null and dst is not null and w > 0").select("src", "dst", "w")))
     every = e.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
-    for _ in range(rounds):
+    while True:  # every round but the last puts some aside
         groups = cut(communities(e, steps))
         side = lambda n: groups.select(F.col("vertex").alias(n), F.col("community").alias(f"g{n}"))  # noqa: E731, B023
         inner = e.join(side("src"), "src").join(side("dst"), "dst").filter("gsrc = gdst")

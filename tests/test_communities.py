@@ -23,3 +23,9 @@ def test_sequence_groups_put_outliers_aside(spark):
     edges = [(a, b, 0.9) for a, b in itertools.combinations(range(28), 2)] + [(28, i, 0.1) for i in range(6)]
     got = {r["vertex"]: r["community"] for r in communities.sequence_groups(spark.createDataFrame(edges, EDGES)).collect()}
     assert got == {**dict.fromkeys(range(28), 0), 28: None}
+
+
+def test_large_clique_of_equal_vertices(spark):
+    edges = cliques(range(120), range(200, 203)) + [(119, 200, 0.5)]
+    got = {r["vertex"]: r["community"] for r in communities.communities(spark.createDataFrame(edges, EDGES)).collect()}
+    assert got == {**dict.fromkeys(range(120), 0), **dict.fromkeys(range(200, 203), 200)}
