@@ -4,7 +4,7 @@ In each of several runs every set starts at the run's root and follows those of
 selects, about 1 / (threshold x size) of them, so similar sets meet in a bucket with a constant chance however large
 the collection is. Buckets of at most LEAF sets are compared outright; larger ones are split again by further tokens.
 What is still large at the last level is compared in blocks over many tasks, so nothing is left out. Runs are repeated
-until the expected recall of pairs at the threshold passes 0.99. In a bucket, 128-bit sign sketches put aside pairs whose
+until the expected recall of pairs at the threshold, of any sizes and down to the last level, passes 0.99. In a bucket, 128-bit sign sketches put aside pairs whose
 sketches differ by more than 3.5 standard deviations beyond what the threshold leads to. Vectors join through sets too: of TABLES random
 hyperplane codes of BITS bits, one token each. Every candidate is then checked exactly.
 
@@ -33,10 +33,18 @@ LEAF, LEVELS, EXPAND = 32, 5, 50
 RECALL, TABLES, BITS, SKETCH = 0.99, 96, 16, 128
 
 
-def runs_for(threshold: float, recall: float = RECALL, levels: int = 2) -> int:
-    """Runs that bring pairs at the threshold to the recall: they share 2 / (1 + threshold) selected tokens a level on average."""
-    keep = (1 - math.exp(-2 / (1 + threshold))) ** levels
-    return math.ceil(math.log(1 - recall) / math.log(1 - keep)) + 2
+def survival(shared: float, levels: int = LEVELS) -> float:
+    """Chance that two sets still meet after so many levels, sharing on average `shared` chosen tokens a level (Poisson branching)."""
+    chance = 1.0
+    for _ in range(levels):
+        chance = 1 - math.exp(-shared * chance)
+    return chance
+
+
+def runs_for(recall: float = RECALL, levels: int = LEVELS) -> int:
+    """Runs that bring pairs at the threshold to the recall at the last level. Equal-sized ones share 2 / (1 + threshold) chosen
+    tokens a level on average, the worst, one set inside the other, share one."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(1.0, levels)))
 
 
 def bits_apart(cos: float, bits: int = SKETCH, deviations: float = 3.5) -> int:
@@ -85,7 +93,7 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def candidate_pairs(sets: DataFrame, threshold: float, apart: int, runs: int | None = None, leaf: int = LEAF, levels: int = LEVELS, seed: int = 11) -> DataFrame:
     """a < b: pairs of ids of sets(id, tokens, sketch) that met in a bucket with sketches at most `apart` bits from each other."""
-    runs = runs or runs_for(threshold)
+    runs = runs or runs_for(levels=levels)
     roots = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("r")
     grown = sets.select("id", "tokens", "sketch", roots).withColumn("path", F.xxhash64(F.lit(seed), "r"))
     alike = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0)) <= apart

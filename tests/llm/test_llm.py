@@ -114,6 +114,15 @@ def test_chosen_path(spark):
     assert chosen_path.similar_sets(spark.createDataFrame([], "id long, tokens array<long>"), 0.6).count() == 0
 
 
+def test_runs_reach_the_recall_at_the_last_level():
+    """One set inside the other: one shared chosen token a level on average, over all levels of a run."""
+    rng, pairs = np.random.default_rng(7), 200_000
+    alive = np.ones((pairs, chosen_path.runs_for()), np.int64)
+    for _ in range(chosen_path.LEVELS):
+        alive = rng.poisson(alive)
+    assert (alive > 0).any(1).mean() > 0.989
+
+
 def test_large_bucket_is_compared_in_blocks(spark):
     data = [(i, [*range(30), 1000 + i]) for i in range(80)]
     sets = chosen_path.sketched(spark.createDataFrame(data, "id long, tokens array<long>"))
