@@ -27,6 +27,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandflow.llm import posting_lists as pl
+from strandflow.llm.grid_components import mix
 from strandflow.session import cut, small_side
 
 LEAF, LEVELS, EXPAND = 32, 5, 50
@@ -68,7 +69,7 @@ def sketched(sets: DataFrame) -> DataFrame:
             tokens, ends = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().cumsum()
             if not len(tokens):
                 continue
-            words = np.stack([_mix(tokens, i) for i in range(SKETCH // 64)], 1)
+            words = np.stack([mix(tokens, i) for i in range(SKETCH // 64)], 1)
             plus = np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32)
             total = np.add.reduceat(plus, np.r_[0, ends[:-1]], axis=0)
             yield pa.RecordBatch.from_arrays([b.column(0), lists, _longs(2 * total > np.diff(np.r_[0, ends])[:, None])], ["id", "tokens", "sketch"])
@@ -76,13 +77,6 @@ def sketched(sets: DataFrame) -> DataFrame:
     return sets.select("id", "tokens").filter("size(tokens) > 0").mapInArrow(draw, "id long, tokens array<long>, sketch array<long>")
 
 
-def _mix(x: np.ndarray, salt: int) -> np.ndarray:
-    z = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(salt + 1)
-    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
-    return z ^ (z >> np.uint64(31))
-
-
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, tokens) -> the classes (id = smallest member, tokens, n) and the membership (member, id)."""
     keyed = sets.filter("id is not null and size(tokens) > 0").select("id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).withColumn("k", F.xxhash64("tokens"))
@@ -162,7 +156,7 @@ def hyperplane_sets(df: DataFrame, id_col: str, vec_col: str, dim: int, tables:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, tables, dtype=np.int32)), pa.array(tokens.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), pl.binary(pl.to_bytes(x)), lists, _longs(signs[:, tables * bits :])], ["id", "vec", "tokens", "sketch"])
 
-    once = pl.usable(df, id_col, vec_col, dim)
+    once = pl.with_vectors(pl.usable(df, id_col, vec_col), dim)
     return once.mapInArrow(code, "id long, vec binary, tokens array<long>, sketch array<long>").dropDuplicates(["id"])
 
 

@@ -1,16 +1,21 @@
-"""Most similar vectors for every vector, by balanced posting lists.
+"""Most similar vectors for every vector, by balanced posting lists on two levels.
 
-A bounded sample fixes the centroids (hierarchical balanced clustering: a part with many sampled vectors is given many
-centroids). Each vector is put into the list of its nearest centroid (its home, where it is a query) and, near a
-boundary, into further lists whose distance is within a ratio of the nearest (there it is only a target). Centroids
-are found through an in-memory graph: entry hubs, the graph neighbourhood of the hub, one hop along the best node's
-links. Each list is then searched by block products in one task.
+A bounded sample fixes the cells (hierarchical balanced clustering: a part with many sampled vectors is given many
+centroids). Each vector goes to the cell of its nearest centroid (its home) and, near a boundary, to further cells whose
+distance is within a ratio of the nearest. Inside a cell, in one task, lists are made of its own rows in the same way:
+centroids of a sample, boundary vectors replicated by the ratio of distances, so that the number of lists grows with the
+rows and the work a row does not. On both levels centroids are found through an in-memory graph: entry hubs, the graph
+neighbourhood of the hub, one hop along the best node's links. A vector is compared with all others of its lists, in
+every cell it is in, and what the cells found is put together.
+
+Cells hold about CELL_ROWS rows up to MAX_SAMPLE / 32 x CELL_ROWS = 67 million rows. Beyond that their number stays and
+they grow, the lists in them do not; a task then needs about 1 kB a row of its cell (a billion rows: 122,000 rows a cell).
 
 Defined results: rows whose id is null or whose vector is null, of another length, all zero, or holds a null, NaN or
 infinity take no part. A repeated id counts once. Copies of a vector are ordinary rows; of a large group of copies
-only the smallest ids of each batch travel as vectors, the others follow them (`w` counts them) and get their result
-by a join, so no group of copies meets in one task. Ties go to the smaller id. An empty table gives no rows.
-Other columns are ignored.
+only the smallest ids of each batch travel as vectors, the others follow them and get their result by a join, so no group
+of copies meets in one task; in a cell, too, only the smallest ids of the copies are compared. Ties go to the smaller id.
+An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from strandflow.session import cut
+from strandflow.llm.grid_components import mix
+from strandflow.session import cut, small_side
 
-#: Rows sought for a list, most lists (bounds the broadcast: 4,096 x 48 floats are 0.8 MB), sampled rows per list and in all;
-#: beyond 2 million rows lists grow, so that each still has 64 sampled rows, on which recall depends.
-LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST, MIN_SAMPLE = 512, 4_096, 64, 16_384
-MAX_SAMPLE, NEAR_SAMPLE = 262_144, 65_536
-LINKS, ENTRIES, REPLICAS, RATIO = 16, 1, 5, 0.10
-ASSIGNED = "list int, id long, w int, home boolean, rep long, vec binary"
+#: Rows sought for a cell and for a list in it; sampled rows per cell, least and most in all.
+CELL_ROWS, LIST_ROWS, SAMPLE_PER_CELL, MIN_SAMPLE, MAX_SAMPLE = 8_192, 256, 256, 16_384, 262_144
+LINKS, ENTRIES, REPLICAS, RATIO = 16, 1, 4, 0.04
+#: The same inside a cell, where replicas are not shuffled, and queries compared at a time.
+LIST_REPLICAS, LIST_RATIO, CHUNK = 4, 0.06, 4_096
+ASSIGNED = "cell int, id long, lead boolean, home boolean, many boolean, rep long, vec binary"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -84,7 +90,7 @@ class ListIndex:
         near = [[m, self.links[m].ravel()] if len(m) else [np.argsort(-(centroids @ self.hubs[h]))[: LINKS + 1]] for h, m in enumerate(cells)]
         # A hub also reaches every centroid that is among the nearest of a sampled vector of the hub.
         top = min(REPLICAS, n)
-        for part in np.array_split(y[:NEAR_SAMPLE], max(1, min(len(y), NEAR_SAMPLE) // 4096)):
+        for part in np.array_split(y, max(1, len(y) // 4096)):
             hub, best = (part @ self.hubs.T).argmax(1), np.argpartition(-(part @ centroids.T), top - 1, 1)[:, :top]
             for h in np.unique(hub):
                 near[h].append(np.unique(best[hub == h]))
@@ -157,37 +163,64 @@ def from_binary(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """id and vec of the rows that can be usable; the values themselves are looked at in the tasks."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter(F.col("id").isNotNull() & (F.size("vec") == dim))
+def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """id and vec of the rows with an id."""
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter("id is not null")
+
+
+def with_vectors(df: DataFrame, dim: int) -> DataFrame:
+    """Rows of usable() whose vector has dim values; the values themselves are looked at in the tasks."""
+    return df.filter(F.size("vec") == dim)
 
 
 def good_rows(x: np.ndarray) -> np.ndarray:
     return np.isfinite(x).all(1) & (x != 0).any(1)
 
 
-def fit(df: DataFrame, dim: int, list_rows: int = LIST_ROWS, seed: int = 7) -> ListIndex | None:
-    """An index over df(id, vec). The sample is bounded: 64 rows a list, at most MAX_SAMPLE; every row is indexed later."""
-    n = df.count()
-    lists = max(1, min(MAX_LISTS, n // list_rows))
-    want = min(MAX_SAMPLE, max(MIN_SAMPLE, SAMPLE_PER_LIST * lists))
-    share = min(1.0, want / max(n, 1))
-    picked = df if share == 1 else df.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1e6))
+def fit(df: DataFrame, dim: int, cell_rows: int = CELL_ROWS, seed: int = 7) -> ListIndex | None:
+    """The cells of df(id, vec), from a sample of about SAMPLE_PER_CELL rows a cell, at most about MAX_SAMPLE; every row is indexed later."""
+    n = df.select("id").count()
+    cells = max(1, min(MAX_SAMPLE // 32, n // cell_rows))
+    want = min(MAX_SAMPLE, max(MIN_SAMPLE, SAMPLE_PER_CELL * cells))
+    picked = df if want >= n else df.filter(F.rand(seed) < want / n)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1), dim)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(g := good_rows(x))), binary(to_bytes(x[g]))], ["id", "vec"])
 
-    table = picked.mapInArrow(packed, "id long, vec binary").toArrow().sort_by("id").slice(0, MAX_SAMPLE)
+    table = with_vectors(picked, dim).mapInArrow(packed, "id long, vec binary").toArrow().sort_by("id")
     if not table.num_rows:
         return None
     y = unit(from_binary(table["vec"], dim))
-    return ListIndex(train_centroids(y, lists, seed), y[np.random.default_rng(seed).permutation(len(y))], seed)
+    return ListIndex(train_centroids(y, cells, seed), y[np.random.default_rng(seed).permutation(len(y))], seed)
+
+
+def first_copies(x: np.ndarray) -> np.ndarray:
+    """For each row of x the place of the first row with the same bytes."""
+    bits = np.ascontiguousarray(x).view(f"u{x.itemsize}").astype(np.uint64)
+    _, first, group = np.unique((bits * mix(np.arange(x.shape[1]))).sum(1), return_index=True, return_inverse=True)
+    at = first[group]
+    alone = (bits != bits[at]).any(1)
+    at[alone] = np.flatnonzero(alone)
+    return at
+
+
+def beyond(copies: int, first: np.ndarray) -> np.ndarray:
+    """Which rows are not among the `copies` first ones of their copies (first as first_copies gives it)."""
+    order = np.argsort(first, kind="stable")
+    start = np.r_[True, np.diff(first[order]) != 0] if len(order) else np.zeros(0, bool)
+    place = np.arange(len(order))
+    out = np.zeros(len(first), bool)
+    out[order] = place - np.maximum.accumulate(np.where(start, place, 0)) >= copies
+    return out
 
 
 def assign(df: DataFrame, index: ListIndex, dim: int, copies: int, replicas: int = REPLICAS, ratio: float = RATIO) -> DataFrame:
-    """Rows of ASSIGNED. Of more than `copies` copies in a batch the later ids follow the first (rep), in lists below 0."""
+    """Rows of ASSIGNED, one for each cell of a vector (many: more than one).
+
+    Of more than `copies` copies in a batch the later ids follow the first (rep; that one is a lead), in cells below 0.
+    """
     shared = df.sparkSession.sparkContext.broadcast(index)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,94 +230,158 @@ def assign(df: DataFrame, index: ListIndex, dim: int, copies: int, replicas: int
             good = np.flatnonzero(good_rows(x))
             if not len(good):
                 continue
-            _, first = np.unique(ids[good], return_index=True)  # sorted by id
-            good = good[first]
+            _, once = np.unique(ids[good], return_index=True)  # sorted by id
+            good = good[once]
             x, ids = x[good], ids[good]
-            raw = to_bytes(x)
-            _, group, size = np.unique(np.ascontiguousarray(raw).view(np.dtype((np.void, raw.shape[1] * raw.itemsize)))[:, 0], return_inverse=True, return_counts=True)
-            w, keep = np.ones(len(ids), np.int32), np.ones(len(ids), bool)
-            followers = []
-            for g in np.flatnonzero(size > copies):
-                m = np.flatnonzero(group == g)
-                w[m[0]] += len(m) - copies
-                keep[m[copies:]] = False
-                followers.append(np.stack([ids[m[copies:]], np.full(len(m) - copies, ids[m[0]])], 1))
-            x, ids, raw, w = x[keep], ids[keep], raw[keep], w[keep]
-            lists, take = shared.value.lists(unit(x.astype(np.float64)), replicas, ratio)
+            first = first_copies(x)
+            late = beyond(copies, first)
+            lead = np.zeros(len(ids), bool)
+            lead[first[late]] = True
+            keep = np.flatnonzero(~late)
+            cells, take = shared.value.lists(unit(x[keep].astype(np.float64)), replicas, ratio)
             row, place = np.nonzero(take)
-            yield _assigned(lists[row, place], ids[row], w[row], place == 0, np.full(len(row), -1), binary(raw[row]))
-            if followers:
-                f = np.concatenate(followers)
-                yield _assigned(-1 - f[:, 0] % 4096, f[:, 0], np.ones(len(f)), np.zeros(len(f), bool), f[:, 1], pa.nulls(len(f), pa.binary()))
-
-    return df.mapInArrow(put, ASSIGNED)
-
-
-def _assigned(lists: np.ndarray, ids: np.ndarray, w: np.ndarray, home: np.ndarray, rep: np.ndarray, vec: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(w.astype(np.int32)), pa.array(home), pa.array(rep.astype(np.int64)), vec], ["list", "id", "w", "home", "rep", "vec"])
-
-
-class Block:
-    """One list in a task: targets first in order of id, each once; home: places of the queries among them."""
-
-    def __init__(self, table: pa.Table, dim: int):
-        ids, home, w = (table[c].to_numpy() for c in ("id", "home", "w"))
-        order = np.lexsort((~home, ids))
-        order = order[np.r_[True, np.diff(ids[order]) > 0]]
-        self.ids, self.w, self.home = ids[order], w[order], np.flatnonzero(home[order])
-        self.x = from_binary(table["vec"], dim)[order]
+            many = take.sum(1) > 1
+            yield _assigned(cells[row, place], ids[keep][row], lead[keep][row], place == 0, many[row], np.full(len(row), -1), binary(to_bytes(x[keep])[row]))
+            if late.any():
+                f = ids[late]
+                no = np.zeros(len(f), bool)
+                yield _assigned(-1 - f % 4096, f, no, no, no, ids[first[late]], pa.nulls(len(f), pa.binary()))
+
+    return with_vectors(df, dim).mapInArrow(put, ASSIGNED)
+
+
+def _assigned(cells: np.ndarray, ids: np.ndarray, lead: np.ndarray, home: np.ndarray, many: np.ndarray, rep: np.ndarray, vec: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(ids.astype(np.int64)), pa.array(lead), pa.array(home), pa.array(many), pa.array(rep.astype(np.int64)), vec], ["cell", "id", "lead", "home", "many", "rep", "vec"])
+
+
+class Cell:
+    """One cell in a task, its rows in order of id, each once.
+
+    Rows compared are ids with unit vectors x (double) and y (single); of copies beyond `copies`, echo has the ids, of the
+    place of the first copy. w: the ids a compared row stands for, itself and its echoes.
+    """
+
+    def __init__(self, table: pa.Table, dim: int, copies: int, list_rows: int = LIST_ROWS):
+        ids, lead, home, many = (table[c].to_numpy() for c in ("id", "lead", "home", "many"))
+        order = np.lexsort((~lead, ids))
+        order = order[np.r_[True, np.diff(ids[order]) > 0]] if len(order) else order
+        x = from_binary(table["vec"], dim)[order]
+        first = first_copies(x)
+        late = beyond(copies, first)
+        place = np.cumsum(~late) - 1
+        self.echo, self.of, self.echo_lead = ids[order][late], place[first[late]], lead[order][late]
+        self.ids, self.lead, self.home, self.many = (v[order][~late] for v in (ids, lead, home, many))
+        self.w = 1 + np.bincount(self.of, minlength=len(self.ids)).astype(np.int64)
+        self.x = x[~late]
         self.x /= np.sqrt((self.x * self.x).sum(1, keepdims=True))
         self.y = self.x.astype(np.float32)
+        n = len(self.ids)
+        lists = max(1, round(n / list_rows))
+        some = self.y[np.random.default_rng(7).permutation(n)[: max(64 * lists, 1024)]]
+        index = ListIndex(train_centroids(some, lists), some) if lists > 1 else None
+        self.lists, self.take = index.lists(self.y, LIST_REPLICAS, LIST_RATIO) if index else (np.zeros((n, 1), np.int32), np.ones((n, 1), bool))
+        row, at = np.nonzero(self.take)
+        of = self.lists[row, at]
+        by = np.argsort(of, kind="stable")
+        self.members, self.start = row[by], np.searchsorted(of[by], np.arange(int(of.max(initial=0)) + 2))
+
+    def pairs(self, min_cos: float, rows: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For slices of the rows (all, if none are given): row and every row of its lists whose cosine, rounded to 6, is at least min_cos; itself as well."""
+        n = len(self.ids)
+        rows = np.arange(n) if rows is None else rows
+        rows = rows[np.argsort(self.lists[rows, 0], kind="stable")]
+        for i in range(0, len(rows), CHUNK):
+            part = rows[i : i + CHUNK]
+            q, at = np.nonzero(self.take[part])
+            of = self.lists[part[q], at]
+            order = np.argsort(of, kind="stable")
+            q, of = part[q[order]], of[order]
+            sure, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for g in np.split(np.arange(len(q)), np.flatnonzero(np.diff(of)) + 1) if len(q) else ():
+                t = self.members[self.start[of[g[0]]] : self.start[of[g[0]] + 1]]
+                for j in range(0, len(g), 512):
+                    a = q[g[j : j + 512]]
+                    s = self.y[a] @ self.y[t].T
+                    r, c = np.nonzero(s >= min_cos - 1e-5)
+                    code, ok = a[r] * np.int64(n) + t[c], s[r, c] >= min_cos + 1e-5
+                    sure.append(code[ok])
+                    near.append(code[~ok])
+            close = np.unique(np.concatenate(near))
+            close = close[np.round(self.cosines(close // n, close % n), 6) >= min_cos]
+            code = np.unique(np.concatenate([*sure, close]))
+            yield code // n, code % n
 
     def cosines(self, q: np.ndarray, t: np.ndarray) -> np.ndarray:
         return np.concatenate([np.einsum("nd,nd->n", self.x[q[i : i + 65_536]], self.x[t[i : i + 65_536]]) for i in range(0, len(q), 65_536)]) if len(q) else np.zeros(0)
 
-    def close(self, min_cos: float, k: int | None = None, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For slices of the queries: query, target, cosine (double) of pairs of at least min_cos, with k only those that can be among the k best."""
-        for i in range(0, len(self.home), rows):
-            h = self.home[i : i + rows]
-            s = self.y[h] @ self.y.T
-            s[np.arange(len(h)), h] = -2
-            floor = np.full((len(h), 1), min_cos - 1e-5, np.float32)
-            if k is not None and s.shape[1] > k:
-                floor = np.maximum(floor, np.partition(s, s.shape[1] - k, 1)[:, [s.shape[1] - k]] - 1e-5)
-            a, t = np.nonzero(s >= floor)
-            q = h[a]
-            cos = self.cosines(q, t)
-            yield q, t, cos
-
-
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int = 48, k: int = 3, min_cos: float = 0.90, **how) -> DataFrame:
+
+def starts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Places where a new key begins."""
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, int)
+
+
+FOUND = "id long, other long, cos double, many boolean, lead boolean, rep long"
+
+
+def _nearest(cell: Cell, k: int, min_cos: float) -> pa.Table:
+    """Rows of FOUND: of each row of the cell its k most similar rows here."""
+    parts = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    for q, t in cell.pairs(min_cos):
+        q, t = q[q != t], t[q != t]
+        cos = np.round(cell.cosines(q, t), 6)
+        order = np.lexsort((t, -cos, q))
+        q, t, cos = q[order], t[order], cos[order]
+        start = starts(q)
+        best = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) < k
+        parts.append((q[best], t[best], cos[best]))
+    q, t, cos = (np.concatenate(p) for p in zip(*parts))
+    # An echo has the neighbours of the first copy, and that one itself.
+    of, back = np.unique(cell.of, return_inverse=True)
+    others, near = np.full((len(of), k + 1), np.iinfo(np.int64).max), np.full((len(of), k + 1), -2.0)
+    others[:, k], near[:, k] = cell.ids[of], 1.0
+    at = np.flatnonzero(np.isin(q, of))
+    row, start = np.searchsorted(of, q[at]), starts(q[at])
+    place = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)]))
+    others[row, place], near[row, place] = cell.ids[t[at]], cos[at]
+    order = np.lexsort((others, -near), axis=1)[:, :k]
+    e_other, e_cos = (np.take_along_axis(v, order, 1)[back].ravel() for v in (others, near))
+    found = e_cos > -2
+    e_id, e_many, e_lead = (np.repeat(v, k)[found] for v in (cell.echo, cell.many[cell.of], cell.echo_lead))
+    return pa.table({
+        "id": np.concatenate([cell.ids[q], e_id]), "other": np.concatenate([cell.ids[t], e_other[found]]), "cos": np.concatenate([cos, e_cos[found]]),
+        "many": np.concatenate([cell.many[q], e_many]), "lead": np.concatenate([cell.lead[q], e_lead]), "rep": pa.nulls(len(q) + len(e_id), pa.int64()),
+    })
+
+
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int = 48, k: int = 3, min_cos: float = 0.90, cell_rows: int = CELL_ROWS, **how) -> DataFrame:
     """id, other, cos (double, rounded to 6): for every usable vector its k most similar others with cos >= min_cos."""
-    base = usable(df, id_col, vec_col, dim)
-    index = fit(base, dim)
-    schema = "id long, other long, cos double, leads boolean"
+    base = usable(df, id_col, vec_col)
+    index = fit(base, dim, cell_rows)
     if index is None:
         return df.sparkSession.createDataFrame([], "id long, other long, cos double")
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:  # followers: they take the result of the first copy
-            return pa.table({"id": table["id"], "other": table["rep"], "cos": pa.nulls(table.num_rows, pa.float64()), "leads": pa.nulls(table.num_rows, pa.bool_())})
-        block, parts = Block(table, dim), []
-        for q, t, cos in block.close(min_cos, k):
-            cos = np.round(cos, 6)
-            q, t, cos = q[cos >= min_cos], t[cos >= min_cos], cos[cos >= min_cos]
-            order = np.lexsort((t, -cos, q))
-            q, t, cos = q[order], t[order], cos[order]
-            start = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.zeros(0, int)
-            rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-            parts.append((q[rank < k], t[rank < k], cos[rank < k]))
-        q, t, cos = (np.concatenate(x) if x else np.zeros(0) for x in zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        q, t = q.astype(int), t.astype(int)
-        return pa.table({"id": block.ids[q], "other": block.ids[t], "cos": cos, "leads": block.w[q] > 1})
-
-    found = cut(assign(base, index, dim, k + 1, **how).groupBy("list").applyInArrow(search, schema))
-    own = found.filter("leads is not null").select("id", "other", "cos")
-    follows = found.filter("leads is null").select("id", F.col("other").alias("rep"))
-    of_first = found.filter("leads").select(F.col("id").alias("rep"), "other", "cos")
-    of_first = of_first.unionByName(of_first.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("cos")).distinct())
+            n = table.num_rows
+            return pa.table({"id": table["id"], "other": pa.nulls(n, pa.int64()), "cos": pa.nulls(n, pa.float64()), "many": pa.nulls(n, pa.bool_()), "lead": pa.nulls(n, pa.bool_()), "rep": table["rep"]})
+        return _nearest(Cell(table, dim, k + 1), k, min_cos)
+
+    found = cut(assign(base, index, dim, k + 1, **how).groupBy("cell").applyInArrow(search, FOUND))
     best = Window.partitionBy("id").orderBy(F.desc("cos"), "other")
-    return own.unionByName(follows.join(of_first, "rep").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("id", "other", "cos")).distinct()
+    top = lambda rows: rows.withColumn("n", F.dense_rank().over(best)).filter(F.col("n") <= k).select("id", "other", "cos").distinct()
+    own = found.filter("rep is null and not many").select("id", "other", "cos").unionByName(top(found.filter("rep is null and many").select("id", "other", "cos")))
+    follows = found.filter("rep is not null").select("id", "rep")
+    if follows.isEmpty():
+        return own
+    # A row that follows in one batch and is delivered again in another one has its own result.
+    rows = found.filter("rep is null")
+    follows = cut(follows.groupBy("id").agg(F.min("rep").alias("rep")))
+    again = rows.select("id").join(small_side(follows.select("id")), "id", "left_semi").distinct()
+    follows = follows.join(small_side(again), "id", "left_anti")
+    leads = small_side(rows.filter("lead").select("id").distinct())
+    of_lead = top(rows.select("id", "other", "cos").join(leads, "id", "left_semi")).withColumnRenamed("id", "rep")
+    of_lead = of_lead.unionByName(leads.select(F.col("id").alias("rep"), F.col("id").alias("other"), F.lit(1.0).alias("cos")))
+    return own.unionByName(top(follows.join(of_lead, "rep").select("id", "other", "cos")))
 
 
 def similar_pairs(df: DataFrame, id_col: str, vec_col: str, **how) -> DataFrame:

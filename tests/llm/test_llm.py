@@ -68,7 +68,7 @@ def test_cluster_over_many_lists(spark):
     a, b = rng.standard_normal((2, 48))
     near = [a + 0.05 * rng.standard_normal(48) for _ in range(6000)] + [b + 0.05 * rng.standard_normal(48) for _ in range(5)]
     df = spark.createDataFrame([(i, x.astype(np.float32).tolist(), 1, "x") for i, x in enumerate(near)], VEC)
-    got = markov.clique_clusters(df, "id", "vec").toPandas()
+    got = markov.clique_clusters(df, "id", "vec", cell_rows=2000).toPandas()
     assert got.groupby("clust").id.count().to_dict() == {0: 6000, 6000: 5}
     x = np.array(near[:6000], np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -76,6 +76,53 @@ def test_cluster_over_many_lists(spark):
     assert got[got.role == "typical"].id.tolist().count(int(mean.argmax())) == 1 and (got.role == "typical").sum() == 2
 
 
+def test_copies_delivered_again(spark):
+    """A row that follows a copy in one batch and comes again in another has one row, and copies count once for the typical member."""
+    rng = np.random.default_rng(8)
+    c = rng.standard_normal(48)
+    same = (c + 0.1 * rng.standard_normal(48)).astype(np.float32).tolist()
+    near = [(13 + i, (c + 0.1 * rng.standard_normal(48)).astype(np.float32).tolist(), 1, "x") for i in range(4)]
+    data = [(i, same, 1, "x") for i in range(13)]
+    df = spark.createDataFrame(data + near, VEC).coalesce(1).union(spark.createDataFrame([data[12], data[3], near[0]], VEC).coalesce(1))
+    got = markov.clique_clusters(df, "id", "vec").toPandas()
+    assert sorted(got.id) == list(range(17)) and set(got.clust) == {0}
+    x = np.array([d[1] for d in data + near], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean = np.round((x @ x.sum(0) - 1) / (len(x) - 1), 6)
+    assert got[got.role == "typical"].id.tolist() == [int(mean.argmax())]
+    assert {tuple(r) for r in posting_lists.similar_pairs(df, "id", "vec").collect()} == brute(data + near)
+
+
+def dense_flow(a, inflation=2.0, rounds=60):
+    m = a / a.sum(0)
+    for _ in range(rounds):
+        m = (m @ m) ** inflation
+        m /= m.sum(0)
+        m[m < markov.PRUNE] = 0
+        m /= m.sum(0)
+    return m
+
+
+def test_lumped_flow_is_that_of_all_vertices(spark):
+    """Vertices with one neighbourhood, counted by sizes, give the clusters of the dense matrix of all of them."""
+    sizes = {0: 4, 4: 1, 5: 3, 8: 2, 10: 6}
+    links = [(0, 4), (4, 5), (5, 8), (8, 10)]
+    of = [v for v, m in sizes.items() for _ in range(m)]
+    n = len(of)
+    a = np.array([[float(of[i] == of[j] or (of[i], of[j]) in links or (of[j], of[i]) in links) for j in range(n)] for i in range(n)])
+    m = dense_flow(a)
+    part = {}
+    for j in range(n):
+        part.setdefault(tuple(np.flatnonzero(m[:, j] >= 0.7 * m[:, j].max())), set()).add(of[j])
+    edges = spark.createDataFrame([(u, v, 1.0) for u, v in links], "src long, dst long, w double")
+    got = {}
+    for r in markov.markov_clusters(edges, spark.createDataFrame(list(sizes.items()), "id long, m long")).collect():
+        got.setdefault(r["cluster"], set()).add(r["id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, part.values())) and len(got) > 1
+    with pytest.raises(RuntimeError):
+        markov.markov_clusters(edges, rounds=1)
+
+
 def test_markov_lone_loops(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (7, 7, 1.0), (2, 2, 1.0)], "src long, dst long, w double")
     assert {r["id"]: r["cluster"] for r in markov.markov_clusters(edges).collect()} == {1: 1, 2: 1, 7: 7}
