@@ -8,7 +8,7 @@ rows and the work a row does not. On both levels centroids are found through an
 neighbourhood of the hub, one hop along the best node's links. A vector is compared with all others of its lists, in
 every cell it is in, and what the cells found is put together.
 
-Cells hold about CELL_ROWS rows up to MAX_SAMPLE / 32 x CELL_ROWS = 67 million rows. Beyond that their number stays and
+Cells hold about CELL_ROWS rows up to MAX_SAMPLE / 32 x CELL_ROWS = 16 million rows. Beyond that their number stays and
 they grow, the lists in them do not; a task then needs about 1 kB a row of its cell (a billion rows: 122,000 rows a cell).
 
 Defined results: rows whose id is null or whose vector is null, of another length, all zero, or holds a null, NaN or
@@ -33,7 +33,7 @@ from strandflow.llm.grid_components import mix
 from strandflow.session import cut, small_side
 
 #: Rows sought for a cell and for a list in it; sampled rows per cell, least and most in all.
-CELL_ROWS, LIST_ROWS, SAMPLE_PER_CELL, MIN_SAMPLE, MAX_SAMPLE = 8_192, 256, 256, 16_384, 262_144
+CELL_ROWS, LIST_ROWS, SAMPLE_PER_CELL, MIN_SAMPLE, MAX_SAMPLE = 2_048, 256, 96, 16_384, 262_144
 LINKS, ENTRIES, REPLICAS, RATIO = 16, 1, 4, 0.04
 #: The same inside a cell, where replicas are not shuffled, and queries compared at a time.
 LIST_REPLICAS, LIST_RATIO, CHUNK = 4, 0.06, 4_096
