@@ -214,6 +214,26 @@ def test_tokenizer_against_public_encoder(spark):
     assert counts == {i: len(v) for i, v in got.items()}
 
 
+def test_tokenizer_tells_pieces_of_one_hash_apart():
+    """The words of Thue and Morse over two letters have equal polynomial hashes modulo 2^64."""
+    bits = np.array([bin(i).count("1") % 2 for i in range(4096)], np.uint8)
+    one, two = bits + ord("a"), 1 - bits + ord("a")
+    with open(tokenizer.VOCABULARY, "rb") as f:
+        merge = tokenizer.merges(f.read())
+    alone = [tokenizer.encode_texts(w, np.array([0, 4096]), merge)[0].tolist() for w in (one, two)]
+    ids, count = tokenizer.encode_texts(np.concatenate([one, two, one]), np.array([0, 4096, 8192, 12288]), merge)
+    assert alone[0] != alone[1] and np.split(ids, np.cumsum(count)[:-1])[1].tolist() == alone[1]
+    assert ids.tolist() == alone[0] + alone[1] + alone[0]
+
+
+def test_long_pieces_have_a_bucket_for_each_rank():
+    with open(tokenizer.VOCABULARY, "rb") as f:
+        merge = tokenizer.merges(f.read())
+    data = np.frombuffer(("thelongestwordofall" * 40 + "aaaaabab" * 90).encode(), np.uint8)
+    for width in (1, 7, tokenizer.WIDTH):
+        assert merge.merged(data, np.array([len(data)]), width)[0].tolist() == merge.merged(data, np.array([len(data)]), 1)[0].tolist()
+
+
 def test_packing(spark):
     rng = np.random.default_rng(4)
     sizes = [(i, int(n)) for i, n in enumerate(np.minimum(rng.lognormal(6, 1, 3000), 9000))] + [(5000, 0), (5001, None), (None, 4), (5002, 2048), (5003, 4096)]
