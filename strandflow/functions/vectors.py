@@ -25,7 +25,9 @@ def centre(v: Column) -> Column:
 
 
 def rounded(v: Column, places: int = 6) -> Column:
-    return F.transform(v, lambda x: F.round(x, places))
+    """Halves go up, by the value times 10 to the places in double precision."""
+    by = float(10**places)
+    return F.transform(v, lambda x: F.floor(x * by + 0.5) / by)
 
 
 def heads(v: Column, chosen: list[int], width: int) -> Column:

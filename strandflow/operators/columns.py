@@ -88,26 +88,41 @@ def gaps(residues: DataFrame, placed: DataFrame) -> DataFrame:
     return open_.groupBy("seqnum", "rank", "prev_clust", "next_clust").agg(F.min("seqpos").alias("first"), F.max("seqpos").alias("last"), F.count("*").alias("size")).drop("rank")
 
 
+def by_file(order: DataFrame, placed: DataFrame) -> DataFrame:
+    """clustid, fasta, col of order(clustid, col) with the columns of a file, the first of their members', numbered from 0; width is their number."""
+    w = Window.partitionBy("fasta")
+    df = order.join(placed.groupBy("clustid").agg(F.min("fasta").alias("fasta")), "clustid")
+    return df.select("clustid", "fasta", (F.row_number().over(w.orderBy("col")) - 1).alias("col"), F.count("*").over(w).cast("int").alias("width"))
+
+
 def alignment(placed: DataFrame, residues: DataFrame, order: DataFrame) -> DataFrame:
-    """seqnum, row: the letters of each sequence in the order (clustid, col) of the columns, '-' where it has none.
+    """fasta, seqnum, row: the letters of each sequence in the columns of a file (order as by_file gives it), '-' where it has none.
 
     Only a sequence's own columns are shuffled; the dashes between them are made by their distances.
     """
-    w = Window.partitionBy("seqnum").orderBy("col")
-    at = placed.join(residues.select("seqnum", "seqpos", "seqaa"), ["seqnum", "seqpos"]).join(order, "clustid").groupBy("seqnum", "col").agg(F.min(F.struct("seqpos", "seqaa")).getField("seqaa").alias("aa"))
-    width = order.agg((F.max("col") + 1).alias("width"))
+    w = Window.partitionBy("fasta", "seqnum").orderBy("col")
+    at = placed.join(residues.select("seqnum", "seqpos", "seqaa"), ["seqnum", "seqpos"]).join(order, "clustid").groupBy("fasta", "seqnum", "width", "col").agg(F.min(F.struct("seqpos", "seqaa")).getField("seqaa").alias("aa"))
     piece = at.withColumn("piece", F.concat(F.repeat(F.lit("-"), F.col("col") - F.coalesce(F.lag("col").over(w), F.lit(-1)) - 1), "aa"))
-    row = piece.groupBy("seqnum").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "piece"))), lambda x: x["piece"]), "").alias("row"))
-    return row.crossJoin(F.broadcast(width)).select("seqnum", F.rpad("row", F.col("width"), F.lit("-")).alias("row"))
+    row = piece.groupBy("fasta", "seqnum", "width").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "piece"))), lambda x: x["piece"]), "").alias("row"))
+    return row.select("fasta", "seqnum", F.rpad("row", F.col("width"), F.lit("-")).alias("row"))
 
 
 def stranded(placed: DataFrame, order: DataFrame) -> DataFrame:
-    """clustid of the columns of which no member follows its own previous residue, or precedes its next, in the neighbouring column."""
+    """clustid of the columns of which some member has neither its previous residue in the column before nor its next one in the column after."""
     w = Window.partitionBy("seqnum").orderBy("seqpos")
     df = placed.join(order, "clustid")
     df = df.withColumns({"pc": F.lag("col").over(w), "pp": F.lag("seqpos").over(w), "nc": F.lead("col").over(w), "np": F.lead("seqpos").over(w)})
     tied = ((F.col("pc") == F.col("col") - 1) & (F.col("pp") == F.col("seqpos") - 1)) | ((F.col("nc") == F.col("col") + 1) & (F.col("np") == F.col("seqpos") + 1))
-    return df.groupBy("clustid").agg(F.max(F.coalesce(tied, F.lit(False)).cast("int")).alias("tied")).filter("tied = 0").select("clustid")
+    return df.groupBy("clustid").agg(F.min(F.coalesce(tied, F.lit(False)).cast("int")).alias("tied")).filter("tied = 0").select("clustid")
+
+
+def from_alignment(rows: DataFrame, letters: str = "row") -> DataFrame:
+    """seqnum, seqpos, clustid of alignment rows (seqnum, row): the letters that are no gap, clustid being the place in the row.
+
+    The inverse of alignment(): seqpos counts the letters of a row from 0.
+    """
+    at = rows.select("seqnum", F.posexplode(F.split(letters, "")).alias("clustid", "aa")).filter("aa <> '-' and aa <> ''")
+    return at.select("seqnum", (F.row_number().over(Window.partitionBy("seqnum").orderBy("clustid")) - 1).alias("seqpos"), "clustid")
 
 
 def squish_candidates(placed: DataFrame, order: DataFrame, edges: DataFrame) -> DataFrame:

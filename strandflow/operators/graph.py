@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from strandflow.session import cut, drop_cut
 
 
 def simplify(edges: DataFrame, how: str = "max") -> DataFrame:
-    """Undirected edges without loops, parallel ones combined by max, min or sum of their weights."""
-    combine = {"max": F.max, "min": F.min, "sum": F.sum}[how]
+    """Undirected edges without loops, parallel ones combined by max, min, sum, or first: the one of the smallest `at`, if edges have it, else of (src, dst, w)."""
+    rank = F.struct(*([c for c in ("at",) if c in edges.columns] or ["src", "dst", "w"]))
+    combine = {"max": F.max, "min": F.min, "sum": F.sum, "first": lambda w: F.min_by(w, rank)}[how]
     return edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(combine("w").alias("w"))
 
 
@@ -19,25 +22,59 @@ def strength(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("vertex"), "w").groupBy("vertex").agg(F.count("*").alias("degree"), F.sum("w").alias("strength"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """vertex, component (its smallest vertex), by alternating large-star and small-star joins."""
-    e = cut(edges.filter("src <> dst").select("src", "dst").distinct())
-    before = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(least, "src").filter("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).filter("src <> dst").distinct()
-        low = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        m = low.groupBy("src").agg(F.min("dst").alias("m"))
-        small = low.join(m, "src").select("dst", "m", "src")
-        nxt = cut(small.filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).unionByName(m.select("src", F.col("m").alias("dst"))).distinct())
-        state = nxt.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        drop_cut(e)
-        e = nxt
-        if state == before:
+def _stars(batches, chunk: int | None):
+    """(vertex, root) of the parts that the edges of every chunk of rows form; root is the smallest vertex of the part."""
+    held, rows = [], 0
+
+    def flush():
+        ends = np.concatenate([np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]) for b in held], axis=1)
+        ids, at = np.unique(ends, return_inverse=True)
+        a, b = at.reshape(2, -1)
+        root = np.arange(len(ids))
+        while True:
+            ra, rb = root[a], root[b]
+            apart = ra != rb
+            if not apart.any():
+                break
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+            while (higher := root[root] != root).any():
+                root[higher] = root[root[higher]]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["src", "dst"])
+
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if chunk and rows >= chunk:
+            yield flush()
+            held, rows = [], 0
+    if rows:
+        yield flush()
+
+
+def components(edges: DataFrame, chunk: int = 1_000_000) -> DataFrame:
+    """vertex, component (its smallest vertex) of edges between long ids; null ends and loops are left out.
+
+    Every chunk of edges is reduced to stars where it lies. Up to `chunk` edges of stars are put together in one task;
+    more are sent to their vertices, whose several roots are the edges of the next, smaller round.
+    """
+    e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src is not null and dst is not null and src <> dst")
+    up: list[DataFrame] = []
+    while True:
+        stars = cut(e.mapInArrow(lambda batches: _stars(batches, chunk), "src long, dst long"))
+        if stars.limit(chunk + 1).count() <= chunk:
+            last = cut(stars.coalesce(1).mapInArrow(lambda batches: _stars(batches, None), "src long, dst long"))
             break
-        before = state
-    return e.groupBy("src").agg(F.min("dst").alias("component")).withColumnRenamed("src", "vertex").unionByName(e.select(F.col("dst").alias("vertex"), F.col("dst").alias("component")).distinct().join(e.select(F.col("src").alias("vertex")), "vertex", "left_anti"))
+        parents = cut(stars.groupBy("src").agg(F.min("dst").alias("dst"), F.max("dst").alias("most")))
+        up.append(parents.select("src", "dst"))
+        several = parents.filter("dst <> most").select("src", F.col("dst").alias("least"))
+        e = cut(stars.join(several, "src").filter("dst <> least").select(F.col("dst").alias("src"), F.col("least").alias("dst")).distinct())
+        drop_cut(stars)
+    found = last.select(F.col("src").alias("vertex"), F.col("dst").alias("component"))
+    for parents in reversed(up):
+        above = found.select(F.col("vertex").alias("dst"), "component")
+        found = parents.join(above, "dst", "left").select(F.col("src").alias("vertex"), F.coalesce("component", "dst").alias("component"))
+    return found
 
 
 def outliers(strengths: DataFrame, cutoff: float = -5.0, weak: float = 0.8) -> DataFrame:

@@ -1,7 +1,9 @@
 """Exact similarity search within each file, in blocks, and the hits made of it.
 
-A file's sequences are hashed into blocks of about BLOCK residues; every pair of blocks of a file is one group of at
-most two blocks, so a large file is spread over many tasks and no group grows with it. Inside, NumPy multiplies.
+A file's residues are hashed into blocks of about BLOCK, a sequence (or a piece of BLOCK of it) in one; every unordered
+pair of blocks of a file is one group of at most two blocks and gives the hits of both directions, so a large file is
+spread over many tasks and no group grows with it. Inside, NumPy multiplies in single precision; what can be among the
+best is computed again in double precision.
 """
 
 from __future__ import annotations
@@ -12,34 +14,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+BLOCK, SLACK = 2048, 1e-5
 HITS = "fasta string, q bigint, q_seq int, q_pos int, t bigint, t_seq int, t_pos int, sim double"
 
 
+def _cosines(x: np.ndarray, q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", x[q[i : i + 65_536]], x[t[i : i + 65_536]]) for i in range(0, len(q), 65_536))])
+
+
+def _best(x: np.ndarray, y: np.ndarray, idx: np.ndarray, seq: np.ndarray, qs: np.ndarray, ts: np.ndarray, k: int, per_target: bool, minscore: float, own: bool):
+    """q, t, sim: of rows qs the k best of rows ts (of each sequence), ts in the order of (seq, idx)."""
+    begin = np.flatnonzero(np.r_[True, np.diff(seq[ts]) != 0])
+    of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(ts)]))
+    for i in range(0, len(qs), 512):
+        q = qs[i : i + 512]
+        s = y[q] @ y[ts].T
+        if not own:
+            s[seq[q][:, None] == seq[ts][None, :]] = -4
+        s[idx[q][:, None] == idx[ts][None, :]] = -4
+        floor = np.float32(max(minscore, -2) - SLACK)
+        if per_target and k == 1:
+            near = s >= np.maximum(np.maximum.reduceat(s, begin, axis=1) - SLACK, floor)[:, of]
+        elif not per_target and k < len(ts):
+            near = s >= np.maximum(np.partition(s, len(ts) - k, 1)[:, [len(ts) - k]] - SLACK, floor)
+        else:
+            near = s >= floor
+        a, b = np.nonzero(near)
+        a, b = q[a], ts[b]
+        sim = np.round(_cosines(x, a, b), 6)
+        ok = sim >= minscore
+        a, b, sim = a[ok], b[ok], sim[ok]
+        group = seq[b] if per_target else np.zeros(len(b), int)
+        order = np.lexsort((idx[b], -sim, group, a))
+        a, b, sim, group = a[order], b[order], sim[order], group[order]
+        at = np.arange(len(a))
+        start = np.r_[True, (np.diff(a) != 0) | (np.diff(group) != 0)] if len(a) else np.zeros(0, bool)
+        keep = at - np.maximum.accumulate(np.where(start, at, 0)) < k if len(a) else start
+        yield a[keep], b[keep], sim[keep]
+
+
 def _ranked(table: pa.Table, k: int, per_target: bool, minscore: float, own: bool) -> pa.Table:
-    side = table["side"].to_numpy()
+    side = table["b"].to_numpy()
     cols = {c: table[c].to_numpy() for c in ("idx", "seqnum", "seqpos")}
     emb = table["emb"].combine_chunks()
-    x = (emb.flatten().to_numpy() if isinstance(emb, pa.Array) else np.concatenate([c.flatten().to_numpy() for c in emb.chunks])).reshape(len(side), -1)
+    x = (emb.flatten().to_numpy() if isinstance(emb, pa.Array) else np.concatenate([c.flatten().to_numpy() for c in emb.chunks])).reshape(len(side), -1).astype(np.float64)
     x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-    qs, ts = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    ts = ts[np.lexsort((cols["idx"][ts], cols["seqnum"][ts]))]
+    y, order = x.astype(np.float32), np.lexsort((cols["idx"], cols["seqnum"]))
+    one, two = (order[side[order] == e] for e in (side.min(), side.max()))
+    # A group holds the rows of its two blocks, or of one of them alone where the other has no row.
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    ways = [(one, one)] if i == j else [(one, two), (two, one)] if side.min() != side.max() else []
     parts = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-    for i in range(0, len(qs) if len(ts) else 0, 256):
-        q = qs[i : i + 256]
-        s = np.round(x[q] @ x[ts].T, 6)
-        if not own:
-            s[cols["seqnum"][q][:, None] == cols["seqnum"][ts][None, :]] = -np.inf
-        s[cols["idx"][q][:, None] == cols["idx"][ts][None, :]] = -np.inf
-        a, b = np.nonzero(s >= minscore)
-        v = s[a, b]
-        group = cols["seqnum"][ts[b]] if per_target else np.zeros(len(b), int)
-        order = np.lexsort((cols["idx"][ts[b]], -v, group, a))
-        a, b, v, group = a[order], b[order], v[order], group[order]
-        start = np.r_[True, (np.diff(a) != 0) | (np.diff(group) != 0)] if len(a) else np.zeros(0, bool)
-        at = np.arange(len(a))
-        keep = at - np.maximum.accumulate(np.where(start, at, 0)) < k if len(a) else start
-        parts.append((q[a[keep]], ts[b[keep]], v[keep]))
+    for q, t in ways:
+        parts += _best(x, y, cols["idx"], cols["seqnum"], q, t, k, per_target, minscore, own)
     q, t, sim = (np.concatenate(p) for p in zip(*parts))
     name = table["fasta"].take(pa.array(q))
     return pa.table([name, *(pa.array(cols[c][i]) for i in (q, t) for c in ("idx", "seqnum", "seqpos")), pa.array(sim)], names=["fasta", "q", "q_seq", "q_pos", "t", "t_seq", "t_pos", "sim"])
@@ -51,11 +78,10 @@ def neighbours(residues: DataFrame, k: int, per_target: bool, minscore: float =
     Ties go to the smaller idx; similarities are rounded to 6 places; a residue is never its own neighbour.
     """
     sizes = residues.groupBy("fasta").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
-    rows = residues.select("fasta", "idx", "seqnum", "seqpos", "emb").join(sizes, "fasta").withColumn("b", F.pmod(F.xxhash64("seqnum"), F.col("m")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
-    q = rows.select("*", F.lit(0).alias("side"), F.col("b").alias("qb"), every.alias("tb"))
-    t = rows.select("*", F.lit(1).alias("side"), F.col("b").alias("tb"), every.alias("qb")).select(*q.columns)
-    found = q.unionByName(t).groupBy("fasta", "qb", "tb").applyInArrow(lambda g: _ranked(g, k, per_target, minscore, own), HITS)
+    rows = residues.select("fasta", "idx", "seqnum", "seqpos", "emb").join(sizes, "fasta")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("seqnum", F.floor(F.col("seqpos") / block)), F.col("m")).cast("int"))
+    pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumns({"i": F.least("b", "other"), "j": F.greatest("b", "other")}).drop("other", "m")
+    found = pairs.groupBy("fasta", "i", "j").applyInArrow(lambda g: _ranked(g, k, per_target, minscore, own), HITS)
     by = ["q", "t_seq"] if per_target else ["q"]
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sim"), "t"))).filter(F.col("rank") <= k)
 
@@ -71,9 +97,9 @@ def reciprocal(hits: DataFrame) -> DataFrame:
     return hits.filter("q_seq < t_seq").join(back, ["q", "t"], "left_semi")
 
 
-def restricted(hits: DataFrame, scope: DataFrame) -> DataFrame:
-    """Hits between residues of scope(idx)."""
-    return hits.join(scope.select(F.col("idx").alias("q")), "q", "left_semi").join(scope.select(F.col("idx").alias("t")), "t", "left_semi")
+def restricted(residues: DataFrame, scope: DataFrame, minscore: float = 0.5) -> DataFrame:
+    """Best hits of the residues of scope(idx) inside the scope: only they are searched, so the best of them counts even if a better one lies outside."""
+    return best_hits(residues.join(scope.select("idx"), "idx", "left_semi"), minscore)
 
 
 def sequence_similarities(vectors: DataFrame, minscore: float = -2.0) -> DataFrame:

@@ -22,7 +22,6 @@ m as materialized (select case when (a, b) < (c, d) then a else c end as s1, cas
   case when (a, b) < (c, d) then d else b end as p2, max(sim) as sim from m0 where a is not null and c is not null and (a <> c or b <> d) group by 1, 2, 3, 4)"""
 COLS = "k as materialized (select distinct clustid, seqnum, seqpos from clusters where clustid is not null and clustid <> -1 and seqnum is not null and seqpos is not null)"
 PLACED = f"{COLS}, o as materialized (select seqnum, seqpos, max(clustid) as clustid from k group by 1, 2)"
-COL = "c as materialized (select clustid, (row_number() over (order by clustid) - 1)::int as col from (select distinct clustid from o))"
 BOTH = "e2 as (select s1, p1, s2, p2, sim from m union all select s2, p2, s1, p1, sim from m)"
 SEQ = f"""{RES}, l as (select seqnum, min(fasta) as fasta, count(*) as seqlen from r0 group by 1), s0 as (select distinct on (seqnum) seqnum, sequence_embeddings::double[] as v from seq_emb where len(sequence_embeddings) = 48 and seqnum is not null),
 s as (select s0.seqnum, fasta, seqlen, v from s0 join l using (seqnum) where len(list_filter(v, lambda x: x is null or isnan(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
@@ -56,14 +55,6 @@ def _placed(s, d):
     return columns.one_column(T.columns(s, d))
 
 
-def _order(placed):
-    """Columns numbered by clustid; the range sort spreads them, the offsets are of its partitions."""
-    ids = placed.select("clustid").distinct()
-    from strandflow.operators.ranks import dense_index
-
-    return dense_index(ids, "clustid", "col")
-
-
 def _edges(s, d, least=None):
     m = T.matches(s, d)
     m = m.filter(F.col("sim") >= least) if least is not None else m
@@ -98,12 +89,12 @@ def seq_limit(s, d, n=20):
     return T.residues(s, d, vectors=False).filter(F.col("seqnum") < n).groupBy("seqnum").agg(F.count("*").alias("residues"))
 
 
-@query(f"with {RES} select idx, list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)) as emb from r")
+@query(f"with {RES} select idx, list_transform(v, lambda x: floor(x / sqrt(list_dot_product(v, v)) * 1000000 + 0.5) / 1000000) as emb from r")
 def l2_normalise(s, d):
     return T.residues(s, d).select("idx", V.rounded(V.normalise(F.col("emb"))).alias("emb"))
 
 
-@query(f"with {RES} select idx, list_transform(v, lambda x: round(x - list_sum(v) / 48, 6)) as emb from r")
+@query(f"with {RES} select idx, list_transform(v, lambda x: floor((x - list_sum(v) / 48) * 1000000 + 0.5) / 1000000) as emb from r")
 def mean_centre(s, d):
     return T.residues(s, d).select("idx", V.rounded(V.centre(F.col("emb"))).alias("emb"))
 
@@ -136,28 +127,32 @@ def sigma_pool(s, d):
 
 @query(f"with {HITS} select * from h")
 def best_hits(s, d):
-    return hits.best_hits(T.residues(s, d))
+    return hits.best_hits(T.residues(s, d, single=True))
 
 
-@query(f"with {HITS} select a.* from h a join h b on a.q = b.t and a.t = b.q where a.q_seq < a.t_seq")
+@query(f"with {HITS}, b as materialized (select t as q, q as t from h where q_seq > t_seq) select h.* from h semi join b using (q, t) where q_seq < t_seq")
 def rbh(s, d):
-    return hits.reciprocal(hits.best_hits(T.residues(s, d))).select("fasta", "q", "q_seq", "q_pos", "t", "t_seq", "t_pos", "sim")
+    return hits.reciprocal(hits.best_hits(T.residues(s, d, single=True))).select("fasta", "q", "q_seq", "q_pos", "t", "t_seq", "t_pos", "sim")
 
 
 @query(f"with {HITS} select q_seq, t_seq, count(*) as hits, round(sum(sim), 6) as sum_sim from h group by 1, 2")
 def no_rbh(s, d):
-    return hits.best_hits(T.residues(s, d)).groupBy("q_seq", "t_seq").agg(F.count("*").alias("hits"), F.round(F.sum("sim"), 6).alias("sum_sim"))
+    return hits.best_hits(T.residues(s, d, single=True)).groupBy("q_seq", "t_seq").agg(F.count("*").alias("hits"), F.round(F.sum("sim"), 6).alias("sum_sim"))
 
 
 @query(f"with {RES}, {UNIT}, p as (select a.idx as q, b.idx as t, round(array_inner_product(a.u, b.u), 6) as sim from n a join n b on a.fasta = b.fasta and a.idx <> b.idx), k as (select *, row_number() over (partition by q order by sim desc, t)::int as rank from p) select * from k where rank <= 5")
 def knn_topk(s, d):
-    return hits.neighbours(T.residues(s, d), 5, False, own=True).select("q", "t", "sim", "rank")
+    return hits.neighbours(T.residues(s, d, single=True), 5, False, own=True).select("q", "t", "sim", "rank")
 
 
-@query(f"with {HITS}, sc as (select idx from r0 where seqpos < 10) select a.q, a.t, a.sim from h a where q in (from sc) and t in (from sc)")
+@query(f"""with {RES}, {UNIT}, {PLACED}, sc as materialized (select n.* from n where not exists (select 1 from o where o.seqnum = n.seqnum and o.seqpos = n.seqpos)),
+p as (select a.idx as q, b.idx as t, b.seqnum as t_seq, round(array_inner_product(a.u, b.u), 6) as sim from sc a join sc b on a.fasta = b.fasta and a.seqnum <> b.seqnum where round(array_inner_product(a.u, b.u), 6) >= 0.5),
+x as (select *, row_number() over (partition by q, t_seq order by sim desc, t) as rn from p) select q, t, sim from x where rn = 1""")
 def restricted_hits(s, d):
-    res = T.residues(s, d)
-    return hits.restricted(hits.best_hits(res), res.filter("seqpos < 10").select("idx")).select("q", "t", "sim")
+    """Best hits among the residues that have no column, searched inside them alone."""
+    res = T.residues(s, d, single=True)
+    scope = res.join(_placed(s, d).select("seqnum", "seqpos"), ["seqnum", "seqpos"], "left_anti").select("idx")
+    return hits.restricted(res, scope, 0.5).select("q", "t", "sim")
 
 
 @query(f"with {SEQ} select seq1, seq2, seqsim, seqlen1, seqlen2 from y where seqsim >= 0.7")
@@ -278,23 +273,39 @@ def gap_best_cluster(s, d):
     return mean.withColumn("n", F.row_number().over(Window.partitionBy("seqnum", "seqpos").orderBy(F.desc("mean_sim"), "clustid"))).filter("n = 1").drop("n")
 
 
-POT = f"""{OE}, bt as materialized (select c1 as c, c2 as ot, -1 as step, weight from oe union all select c2, c1, 1, weight from oe), p0 as (select clustid, avg(seqpos) as x from o group by 1),
-{", ".join(f"p{i + 1} as materialized (select p{i}.clustid, coalesce((p{i}.x + y) / 2, p{i}.x) as x from p{i} left join (select c, sum(weight * (x + step)) / sum(weight) as y from bt join p{i} on clustid = ot group by 1) on c = p{i}.clustid)" for i in range(order.ROUNDS))},
-od as (select clustid, (row_number() over (order by round(x, 9), clustid) - 1)::int as col from p{order.ROUNDS})"""
+LEV = f"""recursive {OE}, rc(a, b) as (select c1, c2 from oe union select rc.a, oe.c2 from rc join oe on oe.c1 = rc.b), cy as materialized (select x.a as v, min(x.b) as cycle from rc x join rc y on y.a = x.b and y.b = x.a group by 1),
+mp as (select clustid, round(avg(seqpos), 9) as x from o group by 1), ka as materialized (select c1, c2 from oe join mp m1 on m1.clustid = c1 join mp m2 on m2.clustid = c2 left join cy y1 on y1.v = c1 left join cy y2 on y2.v = c2
+  where y1.cycle is null or y2.cycle is null or y1.cycle <> y2.cycle or (m1.x, c1) < (m2.x, c2)),
+ld(v, d) as (select clustid, 0 from mp where clustid not in (select c2 from ka) union select c2, d + 1 from ld join ka on c1 = v), lv as materialized (select v as clustid, max(d) as level, any_value(cycle) as cycle from ld left join cy using (v) group by 1),
+od as (select clustid, (row_number() over (order by level, clustid) - 1)::int as col from lv)"""
+
+
+@query(f"with {LEV} select clustid, level::bigint as level, cycle from lv")
+def column_levels(s, d):
+    """The longest way to each column along the order graph, and the cyclic part it is in (null: none)."""
+    return order.levels(_placed(s, d))
 
 
-@query(f"with {POT} select * from od")
+@query(f"with {LEV}, e as (select c1 as a, c2 as b from oe union select c2, c1 from oe), w(c, v) as (select a, a from e union select w.c, e.b from w join e on e.a = w.v where w.c < e.b), g as (select v, min(c) as component from w group by 1) select component, count(*) as columns, count(cycle) > 0 as cyclic from g join lv on clustid = v group by 1")
+def dag_test(s, d):
+    """Of each connected part of the order graph whether it has a cycle."""
+    placed = _placed(s, d)
+    arcs = columns.order_edges(placed).select(F.col("c1").alias("src"), F.col("c2").alias("dst"))
+    return graph.components(arcs).join(order.levels(placed).withColumnRenamed("clustid", "vertex"), "vertex").groupBy(F.col("component").cast("int").alias("component")).agg(F.count("*").alias("columns"), (F.count("cycle") > 0).alias("cyclic"))
+
+
+@query(f"with {LEV} select * from od")
 def column_order(s, d):
     return order.column_order(_placed(s, d))
 
 
-@query(f"with {POT} select c1, c2, weight from oe join od a on a.clustid = c1 join od b on b.clustid = c2 where a.col > b.col")
+@query(f"with {LEV} select c1, c2, weight from oe join od a on a.clustid = c1 join od b on b.clustid = c2 where a.col > b.col")
 def feedback_arcs(s, d):
     placed = _placed(s, d)
     return order.feedback_arcs(placed, order.column_order(placed))
 
 
-@query(f"with {POT}, f as (select c1, c2 from oe join od a on a.clustid = c1 join od b on b.clustid = c2 where a.col > b.col), st as (select c, sum(weight) as s from bt group by 1), w as (select case when a.s >= 2 * b.s then c2 when b.s >= 2 * a.s then c1 end as clustid from f join st a on a.c = c1 join st b on b.c = c2) select distinct clustid from w where clustid is not null")
+@query(f"with {LEV}, bt as (select c1 as c, weight from oe union all select c2, weight from oe), f as (select c1, c2 from oe join od a on a.clustid = c1 join od b on b.clustid = c2 where a.col > b.col), st as (select c, sum(weight) as s from bt group by 1), w as (select case when a.s >= 2 * b.s then c2 when b.s >= 2 * a.s then c1 end as clustid from f join st a on a.c = c1 join st b on b.c = c2) select distinct clustid from w where clustid is not null")
 def weaker_ends(s, d):
     placed = _placed(s, d)
     return order.weaker_ends(order.feedback_arcs(placed, order.column_order(placed)), placed)
@@ -355,10 +366,33 @@ def aligned(s, d):
     return align(T.residues(s, d))
 
 
-@query(f"with {RES}, {PLACED}, {COL}, a as (select seqnum, col, arg_min(seqaa, seqpos) as aa from o join r0 using (seqnum, seqpos) join c using (clustid) group by 1, 2), t as (select s.seqnum, c.col, coalesce(aa, '-') as aa from (select distinct seqnum from a) s cross join c left join a on a.seqnum = s.seqnum and a.col = c.col) select seqnum, string_agg(aa, '' order by col) as \"row\" from t group by 1")
-def alignment_rows(s, d):
+FILES = "sf as (select distinct seqnum, fasta from r0), fc as materialized (select fasta, clustid, (row_number() over (partition by fasta order by col) - 1)::int as col from od join (select clustid, min(fasta) as fasta from o join sf using (seqnum) group by 1) using (clustid))"
+
+
+def _files(s, d, placed):
+    return placed.join(T.residues(s, d, vectors=False).select("seqnum", "fasta").distinct(), "seqnum")
+
+
+def _rows(s, d):
     placed = _placed(s, d)
-    return columns.alignment(placed, T.residues(s, d, vectors=False), _order(placed))
+    return columns.alignment(placed, T.residues(s, d, vectors=False), columns.by_file(order.column_order(placed), _files(s, d, placed)))
+
+
+ALN = f"with {LEV}, {RES}, {FILES}, a as (select fc.fasta, o.seqnum, fc.col, arg_min(r0.seqaa, o.seqpos) as aa from o join r0 on r0.seqnum = o.seqnum and r0.seqpos = o.seqpos join fc on fc.clustid = o.clustid group by 1, 2, 3), t as (select s.fasta, s.seqnum, fc.col, coalesce(aa, '-') as aa from (select distinct fasta, seqnum from a) s join fc using (fasta) left join a on a.fasta = s.fasta and a.seqnum = s.seqnum and a.col = fc.col), aln as (select fasta, seqnum, string_agg(aa, '' order by col) as \"row\" from t group by 1, 2)"
+
+
+@query(f"{ALN} select * from aln")
+def alignment_rows(s, d):
+    """The alignment of each file as rows, its columns in their order."""
+    return _rows(s, d)
+
+
+@query(f"{ALN} select seqnum, (row_number() over (partition by seqnum, fasta order by p) - 1)::int as seqpos, (p - 1)::int as clustid, fasta from (select fasta, seqnum, unnest(range(1, len(\"row\") + 1)) as p, \"row\" from aln) where substr(\"row\", p, 1) <> '-'")
+def columns_from_alignment(s, d):
+    """The columns read back from the alignment of each file."""
+    rows = _rows(s, d).withColumn("key", F.struct("fasta", "seqnum"))
+    back = columns.from_alignment(rows.select(F.col("key").alias("seqnum"), "row"))
+    return back.select("seqnum.seqnum", "seqpos", "clustid", "seqnum.fasta")
 
 
 @query(f"with {RES}, {PLACED}, z as (select seqnum, count(*) as placed, count(distinct clustid) as cols from o group by 1), n as (select seqnum, count(*) as residues from r0 group by 1) select seqnum, residues, coalesce(placed, 0) as assigned, (select count(distinct clustid) from o) - coalesce(cols, 0) as gap_cells from n left join z using (seqnum)")
@@ -370,16 +404,16 @@ def alignment_stats(s, d):
     return df.select("seqnum", "residues", F.coalesce("assigned", F.lit(0)).alias("assigned"), (F.col("width") - F.coalesce("cols", F.lit(0))).alias("gap_cells"))
 
 
-@query(f"with {PLACED}, {COL}, x as (select clustid, col, seqpos, lag(col) over w as pc, lag(seqpos) over w as pp, lead(col) over w as nc, lead(seqpos) over w as np from o join c using (clustid) window w as (partition by seqnum order by seqpos)) select clustid from x group by 1 having not bool_or(coalesce((pc = col - 1 and pp = seqpos - 1) or (nc = col + 1 and np = seqpos + 1), false))")
+@query(f"with {LEV}, st as (select clustid, col, seqpos, lag(col) over w as pc, lag(seqpos) over w as pp, lead(col) over w as nc, lead(seqpos) over w as np from o join od using (clustid) window w as (partition by seqnum order by seqpos)) select distinct clustid from st where not coalesce(pc = col - 1 and pp = seqpos - 1, false) and not coalesce(nc = col + 1 and np = seqpos + 1, false)")
 def stranded_columns(s, d):
     placed = _placed(s, d)
-    return columns.stranded(placed, _order(placed))
+    return columns.stranded(placed, order.column_order(placed))
 
 
-@query(f"with {PLACED}, {COL}, {MATCH}, {BOTH}, a as (select * from o join c using (clustid)), cl as (select distinct x.col from a x join a y on y.col = x.col + 1 and y.seqnum = x.seqnum) select x.col as c1, x.col + 1 as c2, round(sum(sim), 6) as weight from e2 join a x on x.seqnum = s1 and x.seqpos = p1 join a y on y.seqnum = s2 and y.seqpos = p2 where sim > 0 and y.col = x.col + 1 and x.col not in (from cl) group by x.col")
+@query(f"with {LEV}, {MATCH}, {BOTH}, a as (select * from o join od using (clustid)), cl as (select distinct x.col from a x join a y on y.col = x.col + 1 and y.seqnum = x.seqnum) select x.col as c1, x.col + 1 as c2, round(sum(sim), 6) as weight from e2 join a x on x.seqnum = s1 and x.seqpos = p1 join a y on y.seqnum = s2 and y.seqpos = p2 where sim > 0 and y.col = x.col + 1 and x.col not in (from cl) group by x.col")
 def squish_candidates(s, d):
     placed = _placed(s, d)
-    return columns.squish_candidates(placed, _order(placed), T.matches(s, d))
+    return columns.squish_candidates(placed, order.column_order(placed), T.matches(s, d))
 
 
 @query()

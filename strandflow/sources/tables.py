@@ -19,19 +19,26 @@ def usable(vector: Column, dim: int = DIM) -> Column:
     return (F.size(vector) == dim) & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def residues(spark: SparkSession, folder: str, vectors: bool = True) -> DataFrame:
-    """One row per residue: seqnum, seqindex, seqpos, seqaa (upper case, null as X), idx, fasta and, of usable vectors, emb (double)."""
+def once(df: DataFrame, key: str) -> DataFrame:
+    """df with one row for each key. Only the keys are shuffled and the rows of repeated ones, which are few; wide rows stay where they are."""
+    repeated = df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
+    return df.join(repeated, key, "left_anti").unionByName(df.join(repeated, key, "left_semi").dropDuplicates([key]))
+
+
+def residues(spark: SparkSession, folder: str, vectors: bool = True, single: bool = False) -> DataFrame:
+    """One row per residue: seqnum, seqindex, seqpos, seqaa (upper case, null as X), idx, fasta and, of usable vectors, emb (double, or as stored)."""
     df = table(spark, folder, "residues").filter("idx is not null and seqnum is not null and seqpos is not null")
     cols = ["seqnum", "seqindex", "seqpos", F.upper(F.coalesce("seqaa", F.lit("X"))).alias("seqaa"), "idx", "fasta"]
-    if vectors:
-        df = df.filter(usable(F.col("aa_embeddings")))
-        cols.append(F.col("aa_embeddings").cast("array<double>").alias("emb"))
-    return df.select(*cols).dropDuplicates(["idx"])
+    if not vectors:
+        return df.select(*cols).dropDuplicates(["idx"])
+    df = once(df.select(*cols, "aa_embeddings"), "idx").filter(usable(F.col("aa_embeddings")))
+    return df.withColumn("emb", F.col("aa_embeddings") if single else F.col("aa_embeddings").cast("array<double>")).drop("aa_embeddings")
 
 
 def sequence_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """seqnum, fasta, seqlen, emb of the sequences with a usable vector and a residue row."""
-    emb = table(spark, folder, "seq_emb").filter(F.col("seqnum").isNotNull() & usable(F.col("sequence_embeddings"))).select("seqnum", F.col("sequence_embeddings").cast("array<double>").alias("emb")).dropDuplicates(["seqnum"])
+    emb = table(spark, folder, "seq_emb").filter(F.col("seqnum").isNotNull() & usable(F.col("sequence_embeddings"))).select("seqnum", F.col("sequence_embeddings").alias("v"))
+    emb = once(emb, "seqnum").select("seqnum", F.col("v").cast("array<double>").alias("emb"))
     size = residues(spark, folder, vectors=False).groupBy("seqnum").agg(F.min("fasta").alias("fasta"), F.count("*").alias("seqlen"))
     return emb.join(size, "seqnum")
 

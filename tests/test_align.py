@@ -1,5 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from strandflow.operators import centrality, filling, graph, order
 from strandflow.plans.align import align
@@ -55,11 +58,46 @@ def test_order_of_crossing_sequences(spark):
     kept = order.consistent(placed, o)
     assert order.feedback_arcs(kept, o).count() == 0
     assert kept.count() == placed.count() - 3
-    assert order.cyclic_core(order.order_edges(placed)).count() > 0
-    assert order.cyclic_core(order.order_edges(kept)).count() == 0
+    assert not order.is_acyclic(placed) and order.is_acyclic(kept)
     assert order.column_order(placed.limit(0)).count() == 0
 
 
+def test_sequences_that_start_late(spark):
+    """Without a cycle there is no feedback arc and no member is dropped, wherever the sequences start."""
+    paths = {0: range(20), 1: range(14, 20), 2: range(15, 20), 3: range(16, 20), 4: [2, 9, 17]}
+    placed = spark.createDataFrame([(s, i, c) for s, p in paths.items() for i, c in enumerate(p)], "seqnum int, seqpos int, clustid int")
+    o = order.column_order(placed)
+    assert [r["clustid"] for r in o.orderBy("col").collect()] == list(range(20))
+    assert order.feedback_arcs(placed, o).count() == 0 and order.consistent(placed, o).count() == placed.count()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 11), min_size=2, max_size=6), min_size=1, max_size=8), st.booleans())
+def test_levels_against_all_ways(paths, acyclic):
+    """Levels are longest ways, cyclic parts what leads to each other; only arcs inside such a part may run back."""
+    paths = [sorted(set(p)) if acyclic else p for p in paths]
+    arcs = sorted({(a, b) for p in paths for a, b in zip(p, p[1:]) if a != b})
+    if not arcs:
+        return
+    at = {}
+    for p in paths:
+        for i, c in enumerate(p):
+            at.setdefault(c, []).append(i)
+    x = {c: sum(v) / len(v) for c, v in at.items()}
+    got = {r["clustid"]: (r["level"], r["cycle"]) for r in order._leveled(pa.table({"c1": [a for a, _ in arcs], "c2": [b for _, b in arcs], "x1": [x[a] for a, _ in arcs], "x2": [x[b] for _, b in arcs]})).to_pylist()}
+    reach = {c: {b for a, b in arcs if a == c} for c in got}
+    for _ in got:
+        reach = {c: r.union(*(reach[y] for y in r)) for c, r in reach.items()}
+    for c, (_, cycle) in got.items():
+        assert cycle == (min(y for y in reach[c] if c in reach[y]) if c in reach[c] else None)
+    back = [(a, b) for a, b in arcs if (got[a][0], a) > (got[b][0], b)]
+    assert all(got[a][1] is not None and got[a][1] == got[b][1] for a, b in back)
+    if acyclic:
+        best = {}
+        way = lambda c: best.setdefault(c, max((way(a) + 1 for a, b in arcs if b == c), default=0))
+        assert {c: v for c, (v, _) in got.items()} == {c: way(c) for c in got}
+
+
 def test_betweenness_and_hubs(spark):
     two = [(a, b) for g in (0, 10) for a in range(g, g + 4) for b in range(a + 1, g + 4)]
     edges = [(*e, 1.0) for e in [*two, (3, 20), (20, 10), (3, 20), (5, 5), (30, 31)]]

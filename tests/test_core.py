@@ -51,6 +51,20 @@ def test_components(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1_000_000, 7])
+def test_components_in_rounds(spark, chunk):
+    """Small chunks need several rounds of stars."""
+    rng = np.random.default_rng(1)
+    pairs = [*rng.integers(0, 60, (50, 2)).tolist(), *([i, i + 1] for i in range(100, 140)), *([200, 201 + i] for i in range(30)), [300, 300]]
+    root = {v: v for p in pairs for v in p}
+    find = lambda v: v if root[v] == v else find(root[v])
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {(v, find(v)) for a, b in pairs if a != b for v in (a, b)}
+    assert {tuple(r) for r in graph.components(spark.createDataFrame(pairs, "src long, dst long"), chunk).collect()} == want
+
+
 def test_planted_columns(spark):
     """Copies of planted column vectors come back as reciprocal best hits, whatever the blocks."""
     rng = np.random.default_rng(3)
