@@ -1,8 +1,9 @@
-"""Central vertices of every component at once: betweenness by breadth-first joins, hub scores by power iteration.
+"""Central vertices of every component at once: betweenness and hub scores.
 
-edges (src, dst, …) are undirected. All sources of all components advance one step per job, so there are as many jobs as
-the widest component has steps. Rows are (source, vertex) pairs of one component, as exact betweenness asks; call it
-with the components that are over-large for their sequences, which is what the filter is for.
+edges (src, dst, …) are undirected. Small components are worked on as arrays, many to a task. In the large ones all
+sources advance one step per job by joins, so there are as many jobs as the widest component has steps; their rows are
+(source, vertex) pairs of one component, as exact betweenness asks, so call it with the components that are over-large
+for their sequences, which is what the filter is for. Hub scores of large components come from repeated joins.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.operators import graph, parts
 from strandflow.session import cut, drop_cut
 
 
@@ -18,8 +20,14 @@ def _both(edges: DataFrame) -> DataFrame:
     return cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
+def betweenness(edges: DataFrame, limit: int = parts.LIMIT) -> DataFrame:
     """vertex, n (size of its component), betweenness divided by (n-1)(n-2)/2 (0 where n < 3). Unweighted."""
+    found, large = parts.by_part(edges.select("src", "dst", F.lit(1.0).alias("w")), parts.between, "n long, betweenness double", limit)
+    found = found.drop("component")
+    return found if large is None else found.unionByName(_by_joins(large))
+
+
+def _by_joins(edges: DataFrame) -> DataFrame:
     e = _both(edges)
     first = e.select(F.col("src").alias("s")).distinct()
     levels = [cut(first.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))]
@@ -55,28 +63,32 @@ def without_brokers(edges: DataFrame, cutoff: float = 0.10, small: int = 5) -> D
     return edges.join(keep.withColumnRenamed("vertex", "src"), "src", "left_semi").join(keep.withColumnRenamed("vertex", "dst"), "dst", "left_semi")
 
 
-def hub_scores(edges: DataFrame, groups: DataFrame, rounds: int = 12, tol: float = 1e-4) -> DataFrame:
+def hub_scores(edges: DataFrame, limit: int = parts.LIMIT, rounds: int = 200, tol: float = 1e-4) -> DataFrame:
     """vertex, component, hub: principal eigenvector of the squared adjacency of each component, greatest entry 1.
 
-    groups is (vertex, component). A round multiplies three times; ends after `rounds`, or when no score changes by more than tol.
+    In large components a round multiplies six times; rounds end when no score changes by more than tol. Raises after `rounds`.
     """
-    e, v = _both(edges), cut(groups.select("vertex", "component", F.lit(1.0).alias("hub")))
+    found, large = parts.by_part(edges.select("src", "dst", F.lit(1.0).alias("w")), parts.hubs, "hub double", limit)
+    if large is None:
+        return found
+    e, groups = _both(large), graph.components(large)
+    v = cut(groups.withColumn("hub", F.lit(1.0)))
     step = lambda x: e.join(x.select(F.col("vertex").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("vertex")).agg(F.sum("hub").alias("hub"))
     for _ in range(rounds):
-        raw = groups.select("vertex", "component").join(step(step(step(step(step(step(v)))))), "vertex")
+        raw = v.select("vertex", "component").join(step(step(step(step(step(step(v)))))), "vertex")
         top = raw.groupBy("component").agg(F.max("hub").alias("top"))
         nxt = cut(raw.join(top, "component").select("vertex", "component", (F.col("hub") / F.col("top")).alias("hub")))
         moved = nxt.join(v.select("vertex", F.col("hub").alias("old")), "vertex").agg(F.max(F.abs(F.col("hub") - F.col("old")))).first()[0]
         drop_cut(v)
         v = nxt
-        if moved is None or moved < tol:
-            break
-    return v
+        if moved < tol:
+            return found.unionByName(v)
+    raise RuntimeError(f"hub scores still change after {rounds} rounds")
 
 
-def without_weak_hubs(edges: DataFrame, groups: DataFrame, least: float = 0.2) -> DataFrame:
+def without_weak_hubs(edges: DataFrame, least: float = 0.2) -> DataFrame:
     """edges between vertices with a hub score above `least`; a component none of whose edges would be left stays whole."""
-    scores = hub_scores(edges, groups)
+    scores = cut(hub_scores(edges))
     side = lambda c: scores.select(F.col("vertex").alias(c), F.col("hub").alias(f"h_{c}"))
     df = edges.join(side("src"), "src").join(side("dst"), "dst").join(scores.select(F.col("vertex").alias("src"), "component"), "src")
     df = df.withColumn("strong", (F.col("h_src") > least) & (F.col("h_dst") > least))

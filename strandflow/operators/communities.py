@@ -1,6 +1,7 @@
 """Communities by short random walks, of all components at once.
 
-Clusters that are alike as starting points of short walks are merged. In every round all pairs of linked clusters that are
+Components of up to parts.LIMIT vertices are worked on as arrays, many to a task: there one pair is merged at a time. In
+larger ones clusters that are alike as starting points of short walks are merged. In every round all pairs of linked clusters that are
 each other's nearest merge at once, and all linked clusters with the same walk (gap 0) whatever their number; other ties are
 ordered by a hash, so that many pairs merge. Rounds go on until no link is left; a hub with many equal leaves takes one
 round a leaf, as a round takes one leaf into it. Per component the round of greatest modularity is taken. Rows are bounded by each vertex's neighbourhood of `steps` steps.
@@ -13,15 +14,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.operators import graph
+from strandflow.operators import graph, parts
 from strandflow.session import cut
 
 
-def communities(edges: DataFrame, steps: int = 3, rounds: int = 10_000) -> DataFrame:
-    """vertex, community (its smallest vertex) for undirected edges (src, dst, w); parallel edges are added, loops, null ends and w <= 0 left out.
+def communities(edges: DataFrame, steps: int = 3, limit: int = parts.LIMIT) -> DataFrame:
+    """vertex, community (its smallest vertex) for undirected edges (src, dst, w); parallel edges are added, loops, null ends and w <= 0 left out."""
+    found, large = parts.by_part(edges, parts.walks(steps), "community long", limit)
+    found = found.drop("component")
+    return found if large is None else found.unionByName(_by_rounds(large, steps))
 
-    Raises where links are left after `rounds` rounds; every round merges at least one pair.
-    """
+
+def _by_rounds(edges: DataFrame, steps: int, rounds: int = 10_000) -> DataFrame:
+    """The communities of large components. Raises where links are left after `rounds` rounds; every round merges at least one pair."""
     e = cut(graph.simplify(edges.filter("src is not null and dst is not null and w > 0").select("src", "dst", "w"), "sum"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     power = graph.strength(e)

@@ -160,23 +160,3 @@ def consistent(placed: DataFrame, order: DataFrame) -> DataFrame:
         return t.take(heaviest_chain(t["seqpos"].to_numpy(), t["col"].to_numpy(), t["w"].to_numpy()))
 
     return df.groupBy("seqnum").applyInArrow(run, df.schema).select("seqnum", "seqpos", "clustid")
-
-
-def agreeing_doubles(placed: DataFrame) -> DataFrame:
-    """placed with at most one residue per sequence and column where the neighbours decide: of doubled residues the one whose column
-    before or after on the sequence is one that other sequences of the column have, if exactly one is such; undecided ones stay.
-    """
-    w = Window.partitionBy("seqnum").orderBy("seqpos", "clustid")
-    df = placed.withColumns({"prev": F.lag("clustid").over(w), "next": F.lead("clustid").over(w)})
-    times = df.groupBy("clustid", "seqnum").agg(F.count("*").alias("times"))
-    df = df.join(times, ["clustid", "seqnum"])
-    around = df.filter("times = 1")
-    seen = around.select("clustid", F.col("prev").alias("o"), F.lit("p").alias("side")).unionByName(around.select("clustid", F.col("next").alias("o"), F.lit("n").alias("side"))).filter("o is not null").distinct().withColumn("ok", F.lit(1))
-    twice = df.filter("times > 1")
-    before = seen.filter("side = 'p'").select("clustid", F.col("o").alias("prev"), F.col("ok").alias("okp"))
-    after = seen.filter("side = 'n'").select("clustid", F.col("o").alias("next"), F.col("ok").alias("okn"))
-    judged = twice.join(before, ["clustid", "prev"], "left").join(after, ["clustid", "next"], "left").withColumn("agrees", F.greatest(F.coalesce("okp", F.lit(0)), F.coalesce("okn", F.lit(0))))
-    won = judged.groupBy("clustid", "seqnum").agg(F.sum("agrees").alias("winners"))
-    kept = judged.join(won, ["clustid", "seqnum"]).filter("winners <> 1 or agrees = 1")
-    cols = ["seqnum", "seqpos", "clustid"]
-    return around.select(*cols).unionByName(kept.select(*cols))

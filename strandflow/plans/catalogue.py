@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandflow.functions import vectors as V
-from strandflow.operators import centrality, chains, columns, communities, evaluate, filling, graph, hits, order
+from strandflow.operators import centrality, chains, columns, communities, doubles, evaluate, filling, graph, hits, order
 from strandflow.sources import tables as T
 
 RES = """r0 as (select distinct on (idx) seqnum, seqindex, seqpos, coalesce(upper(seqaa), 'X') as seqaa, idx, fasta, aa_embeddings::double[] as v from residues
@@ -65,6 +65,16 @@ def _edges(s, d, least=None):
 GE = f"{MATCH}, g as materialized (select s1::bigint * 4294967296 + p1 as src, s2::bigint * 4294967296 + p2 as dst, sim as w from m)"
 
 
+ISL = f"""recursive {GE}, ib as (select src, dst from g where w >= 0 union select dst, src from g where w >= 0), it as (select src as c, src as v from ib union select it.c, ib.dst from it join ib on ib.src = it.v where it.c < ib.dst),
+k as materialized (select min(c) as clustid, (v // 4294967296)::int as seqnum, (v % 4294967296)::int as seqpos from it group by v)"""
+
+
+def _islands(s, d):
+    """Connected matches from 0 up as columns (clustid, seqnum, seqpos); wrong ones give some a sequence twice."""
+    part = graph.components(_edges(s, d, 0.0))
+    return part.select(F.col("component").alias("clustid"), F.shiftright("vertex", 32).cast("int").alias("seqnum"), F.col("vertex").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("seqpos"))
+
+
 @query(f"with {CLEAN} select seqnum, name, seq, len(seq) as size from w where len(seq) >= 1")
 def fasta_parse(s, d):
     return _clean(s, d).filter(F.length("seq") >= 1).select("seqnum", "name", "seq", F.length("seq").alias("size"))
@@ -185,30 +195,30 @@ def components(s, d):
     return graph.components(_edges(s, d, 0.5))
 
 
-@query(f"with {COLS}, {MATCH}, {BOTH}, x as (select a.clustid as grp, a.seqnum::bigint * 4294967296 + a.seqpos as vertex, sum(sim) as strength from e2 join k a on a.seqnum = s1 and a.seqpos = p1 join k b on b.seqnum = s2 and b.seqpos = p2 and a.clustid = b.clustid group by 1, 2),"
+@query(f"with {ISL}, {BOTH}, x as (select a.clustid as grp, a.seqnum::bigint * 4294967296 + a.seqpos as vertex, sum(sim) as strength from e2 join k a on a.seqnum = s1 and a.seqpos = p1 join k b on b.seqnum = s2 and b.seqpos = p2 and a.clustid = b.clustid group by 1, 2),"
        " z as (select *, count(*) over w as n, sum(strength) over w as t, stddev_pop(strength) over w as sd from x window w as (partition by grp)) select grp, vertex, round(strength, 6) as strength, round(case when n > 3 and sd > 1e-9 then (strength - (t - strength) / (n - 1)) / sd end, 4) as z,"
-       " coalesce(case when n > 3 and sd > 1e-9 then (strength - (t - strength) / (n - 1)) / sd end < -2 and strength / (n - 1) <= 0.8, false) as dropped from z")
+       " coalesce(case when n > 3 and sd > 1e-9 then (strength - (t - strength) / (n - 1)) / sd end < -5 and strength / (n - 1) <= 0.8, false) as dropped from z")
 def seq_outliers(s, d):
-    scored = columns.inner_scores(T.columns(s, d), T.matches(s, d)).filter("score <> 0")
-    return graph.outliers(scored.select(F.col("clustid").alias("grp"), (F.shiftleft(F.col("seqnum").cast("long"), 32) + F.col("seqpos")).alias("vertex"), F.col("score").alias("strength")), cutoff=-2.0)
+    scored = columns.inner_scores(_islands(s, d), T.matches(s, d)).filter("score <> 0")
+    return graph.outliers(scored.select(F.col("clustid").alias("grp"), (F.shiftleft(F.col("seqnum").cast("long"), 32) + F.col("seqpos")).alias("vertex"), F.col("score").alias("strength")))
 
 
-@query(f"with {COLS} select (clustid // 4)::int as clustid, seqnum, count(*) as times from k group by 1, 2 having count(*) > 1")
+@query(f"with {ISL} select clustid, seqnum, count(*) as times from k group by 1, 2 having count(*) > 1")
 def doubled_seqs(s, d):
-    return columns.doubled(T.columns(s, d).withColumn("clustid", F.expr("cast(clustid div 4 as int)")))
+    return columns.doubled(_islands(s, d))
 
 
-@query(f"with {COLS} select clustid, count(*) as members, count(distinct seqnum) as sequences, count(*) = count(distinct seqnum) as complete, round(1.2 * count(distinct seqnum), 6)::double as allowed, count(*) > round(1.2 * count(distinct seqnum), 6)::double as over from k group by 1")
+@query(f"with {ISL} select clustid, count(*) as members, count(distinct seqnum) as sequences, count(*) = count(distinct seqnum) as complete, round(1.2 * count(distinct seqnum), 6)::double as allowed, count(*) > round(1.2 * count(distinct seqnum), 6)::double as over from k group by 1")
 def completeness(s, d):
-    return columns.completeness(T.columns(s, d))
+    return columns.completeness(_islands(s, d))
 
 
-DEDUP = f"{COLS}, {MATCH}, {BOTH}, i as (select a.clustid, s1 as seqnum, p1 as seqpos, round(sum(sim), 6) as score from e2 join k a on a.seqnum = s1 and a.seqpos = p1 join k b on b.seqnum = s2 and b.seqpos = p2 and a.clustid = b.clustid group by 1, 2, 3), j as (select k.*, coalesce(score, 0) as score from k left join i using (clustid, seqnum, seqpos))"
+DEDUP = f"{ISL}, {BOTH}, i as (select a.clustid, s1 as seqnum, p1 as seqpos, round(sum(sim), 6) as score from e2 join k a on a.seqnum = s1 and a.seqpos = p1 join k b on b.seqnum = s2 and b.seqpos = p2 and a.clustid = b.clustid group by 1, 2, 3), j as (select k.*, coalesce(score, 0) as score from k left join i using (clustid, seqnum, seqpos))"
 
 
 @query(f"with {DEDUP}, q as (select *, row_number() over (partition by clustid, seqnum order by score desc, seqpos) as n from j) select clustid, seqnum, seqpos, score from q where n = 1")
 def dedup_by_graph(s, d):
-    return columns.keep_best(columns.inner_scores(T.columns(s, d), T.matches(s, d)))
+    return columns.keep_best(columns.inner_scores(_islands(s, d), T.matches(s, d)))
 
 
 @query(f"with {COLS}, x as (select *, count(*) over (partition by seqnum, seqpos) as n from k) select clustid, seqnum, seqpos from x where n = 1")
@@ -317,11 +327,41 @@ def consistent_members(s, d):
     return order.consistent(placed, order.column_order(placed))
 
 
-@query(f"with {COLS}, x as (select *, lag(clustid) over w as pv, lead(clustid) over w as nx from k window w as (partition by seqnum order by seqpos, clustid)), y as (select *, count(*) over (partition by clustid, seqnum) as times from x),"
-       " pb as (select distinct clustid, pv from y where times = 1), nb as (select distinct clustid, nx from y where times = 1), j as (select y.*, ((clustid, pv) in (select (clustid, pv) from pb where pv is not null) or (clustid, nx) in (select (clustid, nx) from nb where nx is not null))::int as a from y where times > 1),"
-       " q as (select *, sum(a) over (partition by clustid, seqnum) as winners from j) select seqnum, seqpos, clustid from y where times = 1 union all select seqnum, seqpos, clustid from q where winners <> 1 or a = 1")
+DBL = f"""{ISL}, one as (select seqnum, seqpos, max(clustid) as c from k group by 1, 2), y as materialized (select k.*, p.c as p, n.c as n, count(*) over (partition by clustid, k.seqnum) as times from k left join one p on p.seqnum = k.seqnum and p.seqpos = k.seqpos - 1 left join one n on n.seqnum = k.seqnum and n.seqpos = k.seqpos + 1)"""
+CONSISTENT = f"""{DBL}, gs as (select clustid, count(p) as np, count(n) as nn, count(distinct p) as dp, count(distinct n) as dn from y where times = 1 group by 1),
+ip as (select distinct clustid, p from y where times = 1 and p is not null), jn as (select distinct clustid, n from y where times = 1 and n is not null),
+v as (select y.clustid, y.seqnum, y.seqpos, coalesce(dp, 0) + (y.p is not null and ip.p is null)::int as kp, coalesce(np, 0) + (ip.p is not null)::int as sp, coalesce(dn, 0) + (y.n is not null and jn.n is null)::int as kn, coalesce(nn, 0) + (jn.n is not null)::int as sn
+  from y left join gs using (clustid) left join ip on ip.clustid = y.clustid and ip.p = y.p left join jn on jn.clustid = y.clustid and jn.n = y.n where times > 1),
+t as (select *, min(greatest(1, least(kp, kn))) over (partition by clustid, seqnum) as i from v), u as (select *, case when i <= 5 and least(kp, kn) <= i then case when kp <= i then sp else 0 end + case when kn <= i then sn else 0 end end as support from t),
+b as (select *, max(support) over (partition by clustid, seqnum) as best from u), q as (select *, sum((support = best)::int) over (partition by clustid, seqnum) as winners from b)"""
+
+
+@query(f"with {CONSISTENT} select clustid, seqnum, seqpos from y where times = 1 union all select clustid, seqnum, seqpos from q where coalesce(winners, 0) <> 1 or support = best")
 def doubles_by_consistency(s, d):
-    return order.agreeing_doubles(T.columns(s, d))
+    return doubles.by_consistency(_islands(s, d))
+
+
+SCORED = f"{ISL}, {BOTH}, y as materialized (select *, count(*) over (partition by clustid, seqnum) as times from k), z as (select a.clustid, a.seqnum, a.seqpos, round(sum(sim), 6) as score from y a join e2 on s1 = a.seqnum and p1 = a.seqpos join y b on b.clustid = a.clustid and b.seqnum = s2 and b.seqpos = p2 and b.times = 1 where a.times > 1 group by 1, 2, 3), q as (select *, row_number() over (partition by clustid, seqnum order by score desc, seqpos) as rn from z where score > 0)"
+
+
+@query(f"with {SCORED} select clustid, seqnum, seqpos from y where times = 1 union all select clustid, seqnum, seqpos from q where rn = 1")
+def doubles_by_scores(s, d):
+    return doubles.by_scores(_islands(s, d), T.matches(s, d))
+
+
+@query()
+def first_dedup(s, d):
+    """Connected matches as columns without doubles."""
+    return doubles.first_pass(_islands(s, d), T.matches(s, d))
+
+
+@query()
+def clustered(s, d):
+    """Columns of the matches from 0 up, over-large ones taken apart."""
+    m = T.matches(s, d).filter("sim >= 0")
+    key = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32) + F.col(b)
+    seqs = m.select(key("s1", "p1").alias("vertex"), F.col("s1").alias("seqnum")).unionByName(m.select(key("s2", "p2").alias("vertex"), F.col("s2").alias("seqnum"))).distinct()
+    return doubles.taken_apart(_edges(s, d, 0.0), seqs)
 
 
 @query(f"with {RES}, {PLACED} select seqnum, seqpos, -idx - 2 as clustid from r0 where not exists (select 1 from o where o.seqnum = r0.seqnum and o.seqpos = r0.seqpos)")
@@ -338,17 +378,16 @@ def gap_islands(s, d):
     return filling.gap_islands(filling.open_residues(res, placed, o), placed, o, res)
 
 
-@query(f"with recursive {GE}, e as (select src, dst from g where w >= 0.8 union select dst, src from g where w >= 0.8), wk as (select distinct src as s, src as v, 0 as l, 1.0::double as n from e union all select s, dst, l + 1, sum(n) from wk join e on src = v where l < 40 group by s, dst, l),"
+@query(f"with recursive {GE}, e as (select src, dst from g where w >= 0.5 union select dst, src from g where w >= 0.5), wk as (select distinct src as s, src as v, 0 as l, 1.0::double as n from e union all select s, dst, l + 1, sum(n) from wk join e on src = v where l < 40 group by s, dst, l),"
        " sp as materialized (select s, v, min(l) as d, arg_min(n, l) as n from wk group by 1, 2), b as (select x.v, sum(x.n * y.n / z.n) / 2 as b from sp x join sp y on y.s = x.v join sp z on z.s = x.s and z.v = y.v where x.s <> x.v and y.v <> x.v and x.s <> y.v and x.d + y.d = z.d group by 1), c as (select s as v, count(*) as n from sp group by 1)"
        " select v as vertex, n, round(case when n > 2 then coalesce(b, 0) / ((n - 1) * (n - 2) / 2) else 0 end, 6) as betweenness from c left join b using (v)")
 def betweenness(s, d):
-    return centrality.betweenness(_edges(s, d, 0.8))
+    return centrality.betweenness(_edges(s, d, 0.5))
 
 
 @query()
 def hub_scores(s, d):
-    e = _edges(s, d, 0.8)
-    return centrality.hub_scores(e, graph.components(e)).withColumn("hub", F.round("hub", 4))
+    return centrality.hub_scores(_edges(s, d, 0.5)).withColumn("hub", F.round("hub", 4))
 
 
 @query()

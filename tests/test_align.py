@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandflow.operators import centrality, filling, graph, order
+from strandflow.operators import centrality, doubles, filling, order
 from strandflow.plans.align import align
 
 DIM = 64  # unrelated vectors stay below the gap score
@@ -103,6 +103,7 @@ def test_betweenness_and_hubs(spark):
     edges = [(*e, 1.0) for e in [*two, (3, 20), (20, 10), (3, 20), (5, 5), (30, 31)]]
     df = spark.createDataFrame(edges, "src long, dst long, w double")
     got = {r["vertex"]: r["betweenness"] for r in centrality.betweenness(df).collect()}
+    assert got == {r["vertex"]: r["betweenness"] for r in centrality.betweenness(df, limit=1).collect()}
     assert got[20] == pytest.approx(16 / 28, abs=1e-5) and got[3] == pytest.approx(15 / 28, abs=1e-5) and got[0] == 0 and got[30] == 0
     kept = {(r["src"], r["dst"]) for r in centrality.without_brokers(df).collect()}
     assert kept == {e for e in two if 3 not in e and 10 not in e} | {(30, 31)}
@@ -112,8 +113,9 @@ def test_betweenness_and_hubs(spark):
         a[r["src"], r["dst"]] = a[r["dst"], r["src"]] = 1
     values, vectors = np.linalg.eigh(a @ a)
     want = np.abs(vectors[:, -1]) / np.abs(vectors[:, -1]).max()
-    got = {r["vertex"]: r["hub"] for r in centrality.hub_scores(star, graph.components(star)).collect()}
-    assert all(got[v] == pytest.approx(want[v], abs=2e-3) for v in got)
+    for limit in (1, 100):
+        got = {r["vertex"]: r["hub"] for r in centrality.hub_scores(star, limit).collect()}
+        assert all(got[v] == pytest.approx(want[v], abs=2e-3) for v in got)
     assert centrality.betweenness(df.limit(0)).count() == 0
 
 
@@ -140,4 +142,27 @@ def test_merge_orders(spark):
 
 def test_doubles_by_consistency(spark):
     placed = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 7, 9), (1, 8, 2), (1, 9, 10)], "seqnum int, seqpos int, clustid int")
-    assert {tuple(r) for r in order.agreeing_doubles(placed).collect()} == {tuple(r) for r in placed.filter("seqpos <> 8").collect()}
+    cols = ["seqnum", "seqpos", "clustid"]
+    assert {tuple(r) for r in doubles.by_consistency(placed).select(cols).collect()} == {tuple(r) for r in placed.filter("seqpos <> 8").collect()}
+    even = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 1), (1, 1, 2), (1, 5, 1), (1, 6, 2)], "seqnum int, seqpos int, clustid int")
+    assert doubles.by_consistency(even).count() == 6 and doubles.by_consistency(even, add_back=False).count() == 2
+
+
+def test_doubles_by_scores(spark):
+    placed = spark.createDataFrame([(0, 0, 1), (1, 0, 1), (1, 3, 1), (2, 0, 1), (2, 4, 1)], "seqnum int, seqpos int, clustid int")
+    edges = spark.createDataFrame([(0, 0, 1, 0, 0.4), (0, 0, 1, 3, 0.6), (1, 0, 2, 0, 0.9), (0, 0, 2, 4, -0.1)], "s1 int, p1 int, s2 int, p2 int, sim double")
+    assert {(r["seqnum"], r["seqpos"]) for r in doubles.by_scores(placed, edges).collect()} == {(0, 0), (1, 3)}
+    assert {(r["seqnum"], r["seqpos"]) for r in doubles.first_pass(placed, edges).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_over_large_components_are_taken_apart(spark):
+    """Three planted columns over ten sequences, joined by brokers and by stray links, come out as three."""
+    def v(c, s):
+        return c * 100 + s
+    edges = [(v(c, a), v(c, b), 0.9) for c in range(3) for a in range(10) for b in range(a)] + [(v(0, 3), 900, 0.8), (900, v(1, 4), 0.8), (v(1, 7), v(2, 7), 0.8), (901, 902, 0.7)]
+    seqs = [(v(c, s), s) for c in range(3) for s in range(10)] + [(900, 20), (901, 1), (902, 2)]
+    got = doubles.taken_apart(spark.createDataFrame(edges, "src long, dst long, w double"), spark.createDataFrame(seqs, "vertex long, seqnum int")).toPandas()
+    assert not got.vertex.duplicated().any()
+    groups = got.groupby("clustid").vertex.apply(sorted).tolist()
+    assert [901, 902] in groups and len(groups) == 4
+    assert all(len({x // 100 for x in g}) == 1 and len(g) >= 8 for g in groups if g != [901, 902])

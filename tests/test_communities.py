@@ -1,5 +1,7 @@
 import itertools
 
+import pytest
+
 from strandflow.operators import communities
 
 EDGES = "src long, dst long, w double"
@@ -9,9 +11,10 @@ def cliques(*groups):
     return [(a, b, 1.0) for g in groups for a, b in itertools.combinations(g, 2)]
 
 
-def test_communities(spark):
+@pytest.mark.parametrize("limit", [100, 1])
+def test_communities(spark, limit):
     edges = cliques(range(5), range(10, 15), range(40, 43)) + [(4, 10, 1.0), (0, 1, 0.0), (7, 7, 1.0), (None, 3, 1.0), (50, 51, 0.5), (51, 50, 0.5)]
-    got = {r["vertex"]: r["community"] for r in communities.communities(spark.createDataFrame(edges, EDGES)).collect()}
+    got = {r["vertex"]: r["community"] for r in communities.communities(spark.createDataFrame(edges, EDGES), limit=limit).collect()}
     assert got == {v: g[0] for g in (range(5), range(10, 15), range(40, 43), range(50, 52)) for v in g}
 
 
@@ -27,5 +30,5 @@ def test_sequence_groups_put_outliers_aside(spark):
 
 def test_large_clique_of_equal_vertices(spark):
     edges = cliques(range(120), range(200, 203)) + [(119, 200, 0.5)]
-    got = {r["vertex"]: r["community"] for r in communities.communities(spark.createDataFrame(edges, EDGES)).collect()}
+    got = {r["vertex"]: r["community"] for r in communities.communities(spark.createDataFrame(edges, EDGES), limit=1).collect()}
     assert got == {**dict.fromkeys(range(120), 0), **dict.fromkeys(range(200, 203), 200)}
