@@ -30,9 +30,10 @@ def rounded(v: Column, places: int = 6) -> Column:
     return F.transform(v, lambda x: F.floor(x * by + 0.5) / by)
 
 
-def heads(v: Column, chosen: list[int], width: int) -> Column:
-    """Concatenation of the chosen heads of `width` values each."""
-    return F.concat(*(F.slice(v, h * width + 1, width) for h in chosen))
+def heads(v: Column, chosen: list[int], width: int, unit: bool = False) -> Column:
+    """Concatenation of the chosen heads of `width` values each, every one of unit length with `unit`."""
+    parts = (F.slice(v, h * width + 1, width) for h in chosen)
+    return F.concat(*(normalise(p) if unit else p for p in parts))
 
 
 def length_correction(a: Column, b: Column) -> Column:

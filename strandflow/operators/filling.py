@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandflow.operators import columns, graph, hits
 from strandflow.operators.chains import chains
 from strandflow.operators.ranks import dense_index
+from strandflow.session import cut
 
 
 def open_residues(residues: DataFrame, placed: DataFrame, order: DataFrame) -> DataFrame:
@@ -79,14 +80,24 @@ def singletons(residues: DataFrame, placed: DataFrame) -> DataFrame:
     return residues.select("seqnum", "seqpos", "idx").join(placed.select("seqnum", "seqpos"), ["seqnum", "seqpos"], "left_anti").select("seqnum", "seqpos", (-F.col("idx") - 2).alias("clustid"))
 
 
-def squish(placed: DataFrame, order: DataFrame, edges: DataFrame) -> DataFrame:
-    """placed with neighbouring columns merged where they share no sequence and each is the other's most similar neighbour."""
-    c = columns.squish_candidates(placed, order, edges)
-    ends = c.select(F.explode(F.array("c1", "c2")).alias("v"), "c1", "weight")
-    best = ends.groupBy("v").agg(F.max_by("c1", F.struct("weight", -F.col("c1"))).alias("c1"))
-    pairs = best.groupBy("c1").agg(F.count("*").alias("n")).filter("n = 2").select((F.col("c1") + 1).alias("col"), "c1")
-    to = pairs.join(order, "col").select("clustid", "c1").join(order.select(F.col("col").alias("c1"), F.col("clustid").alias("into")), "c1")
-    return placed.join(to.select("clustid", "into"), "clustid", "left").select("seqnum", "seqpos", F.coalesce("into", "clustid").alias("clustid"))
+def squish(placed: DataFrame, order: DataFrame, edges: DataFrame, repeats: int = 20) -> DataFrame:
+    """placed with neighbouring columns merged where they share no sequence and each is the other's most similar neighbour.
+
+    Repeated on the result, up to `repeats` times, until nothing merges.
+    """
+    placed, order = placed.select("seqnum", "seqpos", "clustid"), order.select("clustid", "col")
+    for _ in range(repeats):
+        c = columns.squish_candidates(placed, order, edges)
+        ends = c.select(F.explode(F.array("c1", "c2")).alias("v"), "c1", "weight")
+        best = ends.groupBy("v").agg(F.max_by("c1", F.struct("weight", -F.col("c1"))).alias("c1"))
+        pairs = best.groupBy("c1").agg(F.count("*").alias("n")).filter("n = 2").select((F.col("c1") + 1).alias("col"), "c1")
+        to = cut(pairs.join(order, "col").select("clustid", "c1").join(order.select(F.col("col").alias("c1"), F.col("clustid").alias("into")), "c1").select("clustid", "into"))
+        if to.isEmpty():
+            break
+        placed = cut(placed.join(to, "clustid", "left").select("seqnum", "seqpos", F.coalesce("into", "clustid").alias("clustid")))
+        rest = order.join(to, "clustid", "left_anti").select(F.struct("col", "clustid").alias("key"))
+        order = cut(dense_index(rest, "key", "place").select("key.clustid", F.col("place").alias("col")))
+    return placed
 
 
 def column_means(placed: DataFrame, order: DataFrame, residues: DataFrame) -> DataFrame:
@@ -97,19 +108,41 @@ def column_means(placed: DataFrame, order: DataFrame, residues: DataFrame) -> Da
 
 
 def merge_orders(left: DataFrame, right: DataFrame, minscore: float = 0.5) -> DataFrame:
-    """side (0 left, 1 right), clustid, col of two alignments put into one, from their column_means.
+    """unit, side (0 left, 1 right), clustid, col of two alignments put into one in every unit, from their column_means with a unit.
 
-    The matched columns are the heaviest non-crossing chain of similar pairs; between two matches stand first the left
-    columns, then the right ones. Every column of both sides comes out once; matched ones share their col.
+    The matched columns are the heaviest non-crossing chain of the pairs from minscore up; between two matches stand first
+    the left columns, then the right ones. Every column of both sides comes out once; matched ones share their col, which is
+    numbered over all units, those of a unit together.
     """
-    one = lambda df, s: df.select(F.lit("merge").alias("fasta"), F.lit(s).alias("seqnum"), F.col("col").alias("seqpos"), (F.col("col").cast("long") * 2 + s).alias("idx"), "emb")
-    near = hits.neighbours(one(left, 0).unionByName(one(right, 1)), 8, True, minscore).filter("q_seq = 0")
-    match = chains(near.select(F.col("q_seq").alias("s1"), F.col("q_pos").alias("p1"), F.col("t_seq").alias("s2"), F.col("t_pos").alias("p2"), "sim"), weighted=True).select("p1", "p2")
+    one = lambda df, s: df.select(F.col("unit").alias("fasta"), F.xxhash64("unit", F.lit(s)).alias("seqnum"), F.lit(s).alias("side"), F.col("col").alias("seqpos"), (F.col("col").cast("long") * 2 + s).alias("idx"), "emb")
+    every = one(left, 0).unionByName(one(right, 1))
+    near = hits.neighbours(every.withColumn("seqnum", F.col("side")), 2**31 - 1, True, minscore).filter("q_seq = 0")
+    unit = left.select(F.col("col").alias("q_pos"), F.col("unit").alias("s1"))
+    match = chains(near.join(unit, "q_pos").select("s1", F.col("q_pos").alias("p1"), F.lit("").alias("s2"), F.col("t_pos").alias("p2"), "sim"), weighted=True).select(F.col("s1").alias("unit"), "p1", "p2")
     # a left column keeps its place; an unmatched right one stands just before the next matched left column
-    w = Window.orderBy("col")  # one row per column of one alignment
-    r = right.join(match, right.col == match.p2, "left").select("clustid", "col", "p1")
+    w = Window.partitionBy("unit").orderBy("col")  # one row per column of one alignment
+    r = right.join(match.withColumnRenamed("p2", "col"), ["unit", "col"], "left").select("unit", "clustid", "col", "p1")
     nxt = F.coalesce(F.first("p1", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(2**31 - 1))
     r = r.withColumn("before", nxt)
-    spot = F.when(F.col("p1").isNotNull(), F.struct(F.col("p1").alias("a"), F.lit(-1).alias("b"))).otherwise(F.struct((F.col("before") - 1).alias("a"), F.col("col").alias("b")))
-    both = left.select(F.lit(0).alias("side"), "clustid", F.struct(F.col("col").alias("a"), F.lit(-1).alias("b")).alias("key")).unionByName(r.select(F.lit(1).alias("side"), "clustid", spot.alias("key")))
-    return both.join(dense_index(both.select("key").distinct(), "key", "col"), "key").select("side", "clustid", "col")
+    spot = F.when(F.col("p1").isNotNull(), F.struct("unit", F.col("p1").alias("a"), F.lit(-1).alias("b"))).otherwise(F.struct("unit", (F.col("before") - 1).alias("a"), F.col("col").alias("b")))
+    both = left.select("unit", F.lit(0).alias("side"), "clustid", F.struct("unit", F.col("col").alias("a"), F.lit(-1).alias("b")).alias("key")).unionByName(r.select("unit", F.lit(1).alias("side"), "clustid", spot.alias("key")))
+    return both.join(dense_index(both.select("key").distinct(), "key", "col"), "key").select("unit", "side", "clustid", "col")
+
+
+def merge_groups(placed: DataFrame, order: DataFrame, residues: DataFrame, minscore: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """placed and order with the alignments of the groups of a file put into one; placed has fasta and grp.
+
+    The groups of a file are merged two by two, larger ones first, in all files at once; matched columns take the left clustid.
+    """
+    size = placed.groupBy("fasta", "grp").agg(F.count("*").alias("n"))
+    rank = size.withColumn("r", F.row_number().over(Window.partitionBy("fasta").orderBy(F.desc("n"), "grp")) - 1).select("fasta", "grp", "r")
+    placed = cut(placed.join(rank, ["fasta", "grp"]).select("fasta", "r", "seqnum", "seqpos", "clustid"))
+    while placed.agg(F.max("r")).first()[0]:
+        means = column_means(placed, order, residues).join(placed.select("clustid", "fasta", "r").distinct(), "clustid")
+        means = cut(means.select(F.concat_ws("/", "fasta", (F.col("r") / 2).cast("int")).alias("unit"), (F.col("r") % 2).alias("side"), "clustid", "col", "emb"))
+        merged = cut(merge_orders(means.filter("side = 0"), means.filter("side = 1"), minscore))
+        into = merged.groupBy("col").agg(F.min_by("clustid", "side").alias("into"))
+        named = cut(merged.join(into, "col").select("clustid", "into", "col"))
+        placed = cut(placed.join(named.select("clustid", "into"), "clustid").select("fasta", (F.col("r") / 2).cast("int").alias("r"), "seqnum", "seqpos", F.col("into").alias("clustid")))
+        order = named.select(F.col("into").alias("clustid"), "col").distinct()
+    return placed.drop("r"), order

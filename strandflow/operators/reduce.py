@@ -35,15 +35,30 @@ def _shrink(batches):
         yield pd.DataFrame({"fasta": t["fasta"], "seqnum": t["seqnum"], "dim": t["dim"], "shift": g, "scale": np.sqrt(np.maximum(d, 1e-12)), "grand": t["grand"], "sd": t["sd"]})
 
 
-def combat(df: DataFrame) -> DataFrame:
+def unit_dimensions(df: DataFrame) -> DataFrame:
+    """(fasta, …, emb) with every dimension of unit length over the residues of a file; one without values other than 0 stays."""
+    length = df.select("fasta", F.posexplode("emb").alias("dim", "x")).groupBy("fasta", "dim").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
+    lengths = length.groupBy("fasta").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "l"))), lambda s: s["l"]).alias("ls"))  # one entry per dimension
+    return df.join(lengths, "fasta").withColumn("emb", F.zip_with("emb", "ls", lambda x, l: F.when(l > 0, x / l).otherwise(x))).drop("ls")
+
+
+def combat(df: DataFrame, reference: int | None = None, unit: bool = False) -> DataFrame:
     """(fasta, seqnum, idx, emb) with emb adjusted for location and scale of each sequence within its file.
 
+    With reference, a seqindex-like number found in seqnum, the other sequences of its file are adjusted to that one, which stays
+    as it is; unit gives every dimension unit length over the file first.
+
     All statistics are grouped aggregates over (file, sequence, dimension); only they are iterated. Sequences of fewer than
     two residues, and dimensions without variance, stay as they are.
     """
+    df = unit_dimensions(df) if unit else df
     x = df.select("fasta", "seqnum", F.posexplode("emb").alias("dim", "x"))
     batch = x.groupBy("fasta", "seqnum", "dim").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("vp"), F.var_samp("x").alias("vs")).filter("n > 1")
     whole = batch.groupBy("fasta", "dim").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sqrt(F.sum(F.col("n") * F.col("vp")) / F.sum("n")).alias("sd")).filter("sd > 0")
+    if reference is not None:
+        own = batch.filter(F.col("seqnum") == reference).select("fasta", "dim", F.col("mean").alias("g"), F.sqrt("vp").alias("s")).filter("s > 0")
+        whole = whole.join(own, ["fasta", "dim"], "left").select("fasta", "dim", F.coalesce("g", "grand").alias("grand"), F.coalesce("s", "sd").alias("sd"))
+        batch = batch.filter(F.col("seqnum") != reference)
     std = batch.join(whole, ["fasta", "dim"]).withColumns({"gamma": (F.col("mean") - F.col("grand")) / F.col("sd"), "delta": F.col("vs") / (F.col("sd") * F.col("sd"))})
     prior = std.groupBy("fasta", "seqnum").agg(F.avg("gamma").alias("gbar"), F.var_pop("gamma").alias("t2"), F.avg("delta").alias("m"), F.var_pop("delta").alias("s2")).filter("s2 > 0")
     prior = prior.withColumns({"a": (2 * F.col("s2") + F.col("m") * F.col("m")) / F.col("s2"), "b": (F.col("m") * F.col("s2") + F.pow("m", F.lit(3))) / F.col("s2")})

@@ -1,4 +1,4 @@
-"""One call from residue vectors to an alignment: hits, columns, order, rounds of filling, stranded and squished columns."""
+"""One call from residue vectors to an alignment: hits, columns, order, rounds of filling, stranded and squished columns, groups."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions import vectors as V
-from strandflow.operators import centrality, chains, columns, filling, graph, hits, order, reduce
+from strandflow.operators import chains, columns, communities, doubles, filling, hits, order, reduce
 from strandflow.session import cut, drop_cut
 
 CHAINS = {"weighted": True, "longest": False}
@@ -16,15 +16,17 @@ def _edges(found: DataFrame) -> DataFrame:
     return found.select(F.col("q_seq").alias("s1"), F.col("q_pos").alias("p1"), F.col("t_seq").alias("s2"), F.col("t_pos").alias("p2"), "sim")
 
 
-def _trimmed(found: DataFrame, brokers: float) -> DataFrame:
-    """Hits without the central vertices of components that hold more than 1.2 residues a sequence."""
-    e = found.select(F.col("q").alias("src"), F.col("t").alias("dst"))
-    part = cut(graph.components(e))
-    ends = found.select(F.col("q").alias("vertex"), F.col("q_seq").alias("seqnum")).unionByName(found.select(F.col("t").alias("vertex"), F.col("t_seq").alias("seqnum"))).distinct()
-    over = columns.completeness(ends.join(part, "vertex").withColumnRenamed("component", "clustid")).filter("over").select(F.col("clustid").alias("component"))
-    large = cut(part.join(over, "component", "left_semi").select(F.col("vertex").alias("src")))
-    kept = centrality.without_brokers(e.join(large, "src", "left_semi"), brokers).select(F.col("src").alias("q"), F.col("dst").alias("t"))
-    return found.join(large.withColumnRenamed("src", "q"), "q", "left_anti").unionByName(found.join(kept, ["q", "t"], "left_semi"))
+def _first(found: DataFrame, brokers: float | None) -> DataFrame:
+    """seqnum, seqpos, clustid: columns of at least two residues from hits, over-large ones taken apart, each sequence once."""
+    if brokers is None:
+        return filling.first_columns(found)
+    ends = found.select(F.col("q").alias("vertex"), F.col("q_seq").alias("seqnum"), F.col("q_pos").alias("seqpos")).unionByName(found.select(F.col("t").alias("vertex"), F.col("t_seq").alias("seqnum"), F.col("t_pos").alias("seqpos")))
+    ends = cut(ends.distinct())
+    apart = doubles.taken_apart(found.select(F.col("q").alias("src"), F.col("t").alias("dst"), F.col("sim").alias("w")), ends.select("vertex", "seqnum"), brokers)
+    members = cut(apart.join(ends, "vertex").select("clustid", "seqnum", "seqpos"))
+    members = cut(doubles.first_pass(members, _edges(found)))
+    size = members.groupBy("clustid").agg(F.count("*").alias("n")).filter("n > 1")
+    return members.join(size, "clustid", "left_semi").select("seqnum", "seqpos", "clustid")
 
 
 def _settle(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,25 +39,81 @@ def _settle(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, o.join(kept.select("clustid").distinct(), "clustid", "left_semi")
 
 
-def align(residues: DataFrame, minscore: float = 0.7, gap_score: float = 0.5, rounds: int = 3, chain: str | None = None, reciprocal: bool = True, brokers: float | None = 0.10, centre: bool = False, batch: bool = False, heads: tuple[list[int], int] | None = None, fill: bool = True) -> DataFrame:
+def _filled(placed: DataFrame, o: DataFrame, res: DataFrame, sims: DataFrame, with_file, gap_score: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """placed and its order after passes of both phases, new columns inside gaps and the best column of a residue, until no file gains a residue.
+
+    A file that gains none in a pass is done and takes no part in the next ones. Raises where files still gain after `most` passes.
+    """
+    done = None
+    for _ in range(most):
+        before = cut(placed.join(res.select("seqnum", "fasta").distinct(), "seqnum").groupBy("fasta").agg(F.count("*").alias("before")))
+        here = res.join(before, "fasta", "left_semi")
+        new = filling.cluster_islands(filling.gap_islands(filling.open_residues(here, placed, o), placed, o, here), here, gap_score)
+        placed, o = _settle(with_file(cut(placed.unionByName(new))))
+        new = filling.best_columns(filling.open_residues(here, placed, o), placed, o, sims, gap_score).select("seqnum", "seqpos", "clustid")
+        placed, o = _settle(with_file(cut(placed.unionByName(new))))
+        gained = with_file(placed).groupBy("fasta").agg(F.count("*").alias("after")).join(before, "fasta").filter("after > before").select("fasta")
+        gained = cut(gained)
+        kept = cut(with_file(placed).join(gained, "fasta", "left_anti").drop("fasta"))
+        done = kept if done is None else done.unionByName(kept)
+        if gained.isEmpty():
+            return done, order.column_order(with_file(done), group="fasta")
+        placed = cut(with_file(placed).join(gained, "fasta", "left_semi").drop("fasta"))
+        o = cut(o.join(placed.select("clustid").distinct(), "clustid", "left_semi"))
+    raise RuntimeError(f"files still gain residues after {most} passes")
+
+
+def sequence_groups(res: DataFrame, threshold: float) -> DataFrame:
+    """seqnum, grp: the groups of similar sequences of a file (grp null: put aside), from the mean vectors of their residues."""
+    mean = res.groupBy("fasta", "seqnum").agg(F.count("*").alias("seqlen"), F.array(*(F.avg(F.col("emb")[i]) for i in range(len(res.select("emb").first()[0])))).alias("emb"))
+    sims = cut(hits.sequence_similarities(cut(mean), threshold).filter(F.col("correctedseqsim") >= threshold))
+    groups = communities.sequence_groups(sims.select(F.col("seq1").alias("src"), F.col("seq2").alias("dst"), F.col("correctedseqsim").alias("w")))
+    return mean.select("seqnum").join(groups, mean.seqnum == groups.vertex, "left").select("seqnum", F.when(F.col("vertex").isNull(), F.col("seqnum").cast("long")).otherwise(F.col("community")).alias("grp"))
+
+
+def align(residues: DataFrame, minscore: float = 0.7, gap_score: float = 0.5, most: int = 100, chain: str | None = None, reciprocal: bool = True, brokers: float | None = 0.10, centre: bool = False, batch: bool = False, reference: int | None = None, pca: int | None = None, heads: tuple[list[int], int] | None = None, unit_heads: bool = False, group: float | None = None, exclude: bool = False, fill: bool = True) -> DataFrame:
     """fasta, seqnum, seqpos, clustid, col: the column of every residue with a vector, columns of a file numbered together.
 
-    residues has fasta, seqnum, seqpos, seqaa, idx, emb. minscore holds for the first columns, gap_score for the rounds of
-    filling; chain keeps only non-crossing hits of a pair ("weighted" or "longest"); brokers is the betweenness from which
-    vertices of over-large components are dropped (None: none); centre, batch and heads (indices, width) prepare the
-    vectors; fill gives the residues left over columns of their own. An empty table gives no rows.
+    residues has fasta, seqnum, seqpos, seqaa, idx, emb. minscore holds for the first columns, gap_score for the passes of
+    filling, of which there may be `most`; chain keeps only non-crossing hits of a pair ("weighted" or "longest"); brokers is
+    the betweenness from which vertices of over-large columns are dropped (None: columns are not taken apart); heads (indices,
+    width), each of unit length with unit_heads, centre, batch (with reference, a sequence that stays as it is) and pca
+    (dimensions) prepare the vectors; group is the similarity from which sequences of a file are aligned in groups that are merged
+    in the end, with exclude those put aside from all groups are left out of the result; fill gives the residues left over
+    columns of their own. An empty table gives no rows.
     """
     if chain not in (None, *CHAINS):
         raise ValueError(f"chain must be one of {sorted(CHAINS)} or None")
     res = residues.select("fasta", "seqnum", "seqpos", "seqaa", "idx", "emb")
     if heads:
-        res = res.withColumn("emb", V.heads(F.col("emb"), *heads))
+        res = res.withColumn("emb", V.heads(F.col("emb"), *heads, unit=unit_heads))
     if centre:
         res = res.withColumn("emb", V.centre(F.col("emb")))
     if batch:
-        res = res.drop("emb").join(reduce.combat(res.select("fasta", "seqnum", "idx", "emb")).select("idx", "emb"), "idx")
+        res = res.drop("emb").join(reduce.combat(res.select("fasta", "seqnum", "idx", "emb"), reference).select("idx", "emb"), "idx")
+    if pca:
+        res = res.drop("emb").join(reduce.pca(res.select("idx", "emb"), pca).select("idx", F.col("reduced").alias("emb")), "idx")
     res = cut(res)
-    files = res.select("seqnum", "fasta").distinct()
+    if group is None or res.isEmpty():
+        placed, o = _aligned(res, minscore, gap_score, most, chain, reciprocal, brokers)
+    else:
+        groups = cut(sequence_groups(res, group))
+        if exclude:
+            res = cut(res.join(groups.filter("grp is not null"), "seqnum", "left_semi"))
+        unit = groups.withColumn("grp", F.coalesce("grp", -F.col("seqnum").cast("long") - 1))
+        apart = cut(res.join(unit, "seqnum").withColumn("fasta", F.concat_ws("/", "fasta", "grp")).drop("grp"))
+        placed, o = _aligned(apart, minscore, gap_score, most, chain, reciprocal, brokers)
+        with_group = placed.join(res.select("seqnum", "fasta").distinct(), "seqnum").join(unit, "seqnum")
+        placed, o = filling.merge_groups(with_group, o, res, gap_score) if not placed.isEmpty() else (placed, o)
+        placed = placed.select("seqnum", "seqpos", "clustid")
+    if fill:
+        placed = placed.select("seqnum", "seqpos", "clustid").unionByName(filling.singletons(res, placed))
+    placed = cut(placed.select("seqnum", "seqpos", "clustid").join(res.select("seqnum", "fasta").distinct(), "seqnum"))
+    return placed.join(order.column_order(placed, group="fasta"), "clustid").select("fasta", "seqnum", "seqpos", "clustid", "col")
+
+
+def _aligned(res: DataFrame, minscore: float, gap_score: float, most: int, chain: str | None, reciprocal: bool, brokers: float | None) -> tuple[DataFrame, DataFrame]:
+    files = cut(res.select("seqnum", "fasta").distinct())
     near = cut(hits.neighbours(res.filter("seqaa <> 'X'"), 1, True, gap_score).drop("rank"))
     found = near.filter(F.col("sim") >= minscore)
     found = hits.reciprocal(found) if reciprocal else found
@@ -64,25 +122,21 @@ def align(residues: DataFrame, minscore: float = 0.7, gap_score: float = 0.5, ro
         keys = ["q_seq", "q_pos", "t_seq", "t_pos"]
         found = found.join(keep.toDF(*keys), keys, "left_semi")
     found = cut(found)
-    if brokers is not None:
-        found = cut(_trimmed(found, brokers))
     with_file = lambda p: p.join(files, "seqnum")
-    placed, o = _settle(with_file(filling.first_columns(found)))
+    placed, o = _settle(with_file(cut(_first(found, brokers))))
     sims = _edges(near)
-    for i in range(rounds):
-        before = placed.count()
-        if not before:
-            break
-        spare = filling.open_residues(res, placed, o)
-        new = filling.cluster_islands(filling.gap_islands(spare, placed, o, res), res, gap_score) if i == 0 else filling.best_columns(spare, placed, o, sims, gap_score).select("seqnum", "seqpos", "clustid")
-        placed, o = _settle(with_file(cut(placed.unionByName(new))))
-        if i and placed.count() <= before:
-            break
-    loose = columns.stranded(placed, o)
-    placed, o = _settle(with_file(placed.join(loose, "clustid", "left_anti")))
-    placed = cut(order.consistent(filling.squish(placed, o, sims), o))
-    if fill:
-        placed = placed.unionByName(filling.singletons(res, placed))
-    placed = cut(with_file(placed))
+    if not placed.isEmpty():
+        placed, o = (cut(x) for x in _filled(placed, o, res, sims, with_file, gap_score, most))
+        # Stranded columns are taken out and filled again; the more complete alignment stays.
+        loose = cut(columns.stranded(placed, o))
+        if not loose.isEmpty():
+            again, p = _settle(with_file(placed.join(loose, "clustid", "left_anti")))
+            again, p = (cut(x) for x in _filled(again, p, res, sims, with_file, gap_score, most)) if not again.isEmpty() else (again, p)
+            if again.count() > placed.count():
+                placed, o = again, p
+        placed = filling.squish(placed, o, sims)
+        o = cut(order.column_order(with_file(placed), group="fasta"))
+        placed = cut(order.consistent(placed, o))
+        o = cut(order.column_order(with_file(placed), group="fasta"))
     drop_cut(near)
-    return placed.join(order.column_order(placed, group="fasta"), "clustid").select("fasta", "seqnum", "seqpos", "clustid", "col")
+    return placed, o

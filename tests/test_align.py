@@ -31,7 +31,7 @@ def planted(noise=0.05, length=24, seed=5):
 
 def test_align_finds_planted_columns(spark):
     data, truth = planted()
-    got = align(spark.createDataFrame(data, RES), rounds=2, chain="weighted").toPandas()
+    got = align(spark.createDataFrame(data, RES), chain="weighted").toPandas()
     assert len(got) == len(data) and not got.duplicated(["seqnum", "seqpos"]).any()
     got["truth"] = [truth.get((s, p), ("none", s * 100 + p)) for s, p in zip(got.seqnum, got.seqpos)]
     assert (got.groupby("col").truth.nunique() == 1).all() and (got.groupby("truth").col.nunique() == 1).all()
@@ -134,12 +134,31 @@ def test_gap_islands(spark):
 
 def test_merge_orders(spark):
     base = np.eye(12)
-    one = lambda cols: spark.createDataFrame([(int(c), i, base[c].tolist()) for i, c in enumerate(cols)], "clustid int, col int, emb array<double>")
+    one = lambda cols: spark.createDataFrame([(u, 100 * u + int(c), 50 * u + i, base[c].tolist()) for u in (0, 1) for i, c in enumerate(cols)], "unit string, clustid int, col int, emb array<double>")
     got = filling.merge_orders(one([0, 1, 2, 4, 6]), one([1, 3, 4, 5, 6, 7])).toPandas().sort_values(["col", "side"])
-    assert list(zip(got.side, got.clustid)) == [(0, 0), (0, 1), (1, 1), (0, 2), (1, 3), (0, 4), (1, 4), (1, 5), (0, 6), (1, 6), (1, 7)]
+    want = [(0, 0), (0, 1), (1, 1), (0, 2), (1, 3), (0, 4), (1, 4), (1, 5), (0, 6), (1, 6), (1, 7)]
+    assert list(zip(got.side, got.clustid)) == want + [(s, 100 + c) for s, c in want]
     assert got.groupby("clustid").col.nunique().max() == 1
 
 
+def test_align_in_groups(spark):
+    """Groups of a file are aligned apart and merged; the columns that they share come together."""
+    rng = np.random.default_rng(11)
+    base, data, truth = rng.standard_normal((20, DIM)), [], {}
+    tilt = rng.standard_normal(DIM)
+    for s in range(9):
+        shown = range(20) if s < 5 else range(5, 20)
+        for p, c in enumerate(shown):
+            truth[s, p] = c
+            v = base[c] + 0.05 * rng.standard_normal(DIM) + (0.45 * tilt if s >= 5 else 0)
+            data.append((s, s, p, "A", s * 100 + p, "f", v.tolist(), "x", "y"))
+    got = align(spark.createDataFrame(data, RES), group=0.6).toPandas()
+    assert len(got) == len(data) and not got.duplicated(["seqnum", "seqpos"]).any()
+    got["truth"] = [truth[s, p] for s, p in zip(got.seqnum, got.seqpos)]
+    assert (got.groupby("col").truth.nunique() == 1).mean() > 0.9
+    assert (got.sort_values(["seqnum", "seqpos"]).groupby("seqnum").col.diff().dropna() > 0).all()
+
+
 def test_doubles_by_consistency(spark):
     placed = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 7, 9), (1, 8, 2), (1, 9, 10)], "seqnum int, seqpos int, clustid int")
     cols = ["seqnum", "seqpos", "clustid"]
