@@ -1,13 +1,16 @@
 """Keyword-stuffed and link-list pages.
 
 Of each page the sender's own words are taken (decoded plain and HTML body, without headers, quotes, signature,
-attachments, logs, tables, sequences); what the HTML says again counts once. A suffix automaton over the words of
-either body gives the characters covered by repeated maximal substrings.
-Items without clause structure (no function words) that are covered by repeats, are links, or form a list are stuffing;
-a page is a case when these are more than half of its own characters.
+attachments, logs, tables, sequences); what the HTML says again counts once. They are cut into sentences, which are what
+has the structure of a clause: a capital or a sign without case at the start, a stop at the end, three to 45 words, most
+of them not capitalised, few separators. A suffix automaton over the symbols of either body (words, parts of capitalised
+words, numbers and the parts of links as classes, separators) gives the characters covered by repeated maximal
+substrings. What stands outside of sentences and is covered by repeats to COVERED or more is stuffing; a page is a case
+when this is more than half of its own characters.
 
 Defined results: null, empty and blank texts, and texts with nothing of the sender left, are no case. Whole texts are
-read; a null id is ignored; repeated ids are judged row by row and come out once.
+read, of any length, with about a kilobyte of memory a word; a null id is ignored; repeated ids are judged row by row and
+come out once.
 """
 
 from __future__ import annotations
@@ -21,18 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Common function words of the archive's languages.
-FUNCTION_WORDS = frozenset(
-    """the a an is are was were be been to of and or in on at for with that this it i we you he she they my our your but not if when do does did has have had will would could should can may as so than then there
-    who what which because until before after me us them him her their its from by please no any all some too
-    der die das ein eine einen einem einer ist sind war waren und oder in im am an auf für mit dass es ich wir sie er du nicht wenn bis zu zum zur von aber wird werde haben hat noch dem den des wo niemand uns sich nur bei
-    le la les un une et ou est sont que qui ne je tu nous vous il elle on dans pour avec ce cette mais si se plus où par sera avons étaient seulement avant personne
-    el los las una unos y o es son que no yo nosotros usted ella pero si se su está estaban hasta nadie más muy hay ha he lo le solo antes puedes vez
-    и в на не что я мы вы он она они это с по для если как но к у от до из за бы же мне нам его её был была были уже ещё кто где когда""".split()
-)
+#: Share of the characters of a stretch without sentences that repeats must cover, and symbols it must have.
+COVERED, LEAST = 0.4, 6
 GREETING = re.compile(r"^\s*(?:[^\s,!:]+\s*){0,4}[,!:，、]?\s*$")
 QUOTE = re.compile(r"^\s*(?:[-*]\s+)?(?:>|\||:\s|&gt;)")
-WROTE = re.compile(r"^\s*(?:On|Am|Le|El)\b.*\d.*:\s*$|(?:wrote|schrieb\b.*|écrit|escribió|escribio|пиш\w+|писал\w*|написал\w*|書きました|のメッセージ|さんは)\s*:?\s*$", re.I)
+WROTE = re.compile(r"^\s*(?:On|Am|Le|El)\b.*\d.*:\s*$|(?:wrote|schrieb\b.*|écrit|escribió|escribio|пиш\w+|писал\w*|написал\w*|書きました|のメッセージ|さんは)\s*:?\s*$|\b\d{1,2}:\d\d(?::\d\d)?\b.*:\s*$", re.I)
 ORIGINAL = re.compile(r"^\s*-{2,}\s*\S.*\S\s*-{2,}\s*$")
 SIGNATURE = re.compile(r"^\s*(?:--\s*|_{5,}|-{5,}|={5,})$")
 CLOSING = re.compile(
@@ -46,12 +42,15 @@ SEQUENCE = re.compile(r"^\s*(?:>\S.*|[A-Za-z*-]{25,}|(?:[ACDEFGHIKLMNPQRSTVWYX]{
 BULLET = re.compile(r"^\s*(?:[-*•·+#]+|\(?\d{1,3}[.)])\s+")
 URL = re.compile(r"<?(?:https?://|www\.)[^\s<>\"]+>?", re.I)
 HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff]")
-WORD = re.compile(r"\x00|[^\W_]+(?:['’\-][^\W_]+)*")
+WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 KANA = re.compile(r"[\u3041-\u3096]")
 SEPARATOR = re.compile(r"[|/·•*;,#+~»>=、・，]+|\s[-–—]\s")
+STOP = re.compile(r"(?<=[.?!。！？])(?=\s|$)|(?<=[。！？])")
+SYMBOL = re.compile(r"<?(?:https?://|www\.)[^\s<>\"]+>?|[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,:]\d+)*|[^\w\s]|_")
+LINK_PART = re.compile(r"https?://|www\.|[A-Za-z]+|\d+|.")
+HUMP = re.compile(r"[^\W\d_]?[^\WA-Z\d_]+|[A-Z]+(?![^\WA-Z\d_])")
 CONTACT = re.compile(r"^[^@]{0,80}[\w.+-]+@[\w-]+\.[\w.-]+[^@]{0,20}$")
 BROKEN = re.compile("[ÐÑÃâ][\u0080-\u00bf\u2018-\u203a\u20ac\u0192\u02c6\u02dc\u0152-\u0178]")
-STOP = re.compile(r"[.?!](?=\s|$)|。")
 HEADER = re.compile(r"^[A-Za-z][A-Za-z0-9-]{1,40}:(?:\s|$)")
 
 
@@ -236,43 +235,70 @@ def stuffing(text: str) -> tuple[int, int]:
     return stuffed, total
 
 
+def is_clause(part: str) -> bool:
+    """Whether a stretch up to a stop is built like a sentence."""
+    text = URL.sub(" ", part).strip()
+    words = WORD.findall(text)
+    kana = len(KANA.findall(text))
+    if not text or text[-1] not in ".?!。！？" or not (3 <= len(words) <= 45 or kana >= 3):
+        return False
+    first = text.lstrip("|\"'«(¿¡“„- \t")[:1]
+    if not first.isalnum() or first.islower() and (text[-1] == "!" or len(words) < 4) or text[-1] == "!" and SEPARATOR.match(text):
+        return False
+    pieces = sum(1 for x in SEPARATOR.split(text) if x.strip())
+    capitals = sum(w[0].isupper() for w in words)
+    return kana >= 3 or pieces * 4 <= len(words) + 4 and capitals * 5 <= len(words) * 3
+
+
+def symbols(part: str) -> list[tuple[str, int]]:
+    """The symbols of a stretch and their lengths: words in lower case, capitalised parts of a word apart; numbers, and words and numbers in links, as classes."""
+    out = []
+    for m in SYMBOL.finditer(part):
+        x = m[0]
+        if "://" in x or x[:5].lower().lstrip("<").startswith("www."):
+            for y in LINK_PART.findall(x):
+                out.append(("\x00" + ("a" if y.isalpha() else "0" if y.isdigit() else y), len(y)))
+        elif x[0].isdigit():
+            out.append(("0", len(x)))
+        elif x.islower() or len(x) < 4 or x[1:].islower():
+            out.append((x.lower(), len(x)))
+        else:
+            out += [(y.lower(), len(y)) for y in HUMP.findall(x)]
+    return out
+
+
+def stretches(item: str) -> list[tuple[str, bool]]:
+    """An item cut into sentences (True) and what stands between them (False)."""
+    out: list[tuple[str, bool]] = []
+    for part in STOP.split(BULLET.sub("", item)):
+        if not part.strip():
+            continue
+        clause = is_clause(part)
+        if out and not clause and not out[-1][1]:
+            out[-1] = (out[-1][0] + part, False)
+        else:
+            out.append((part, clause))
+    return out
+
+
 def _judged(items: list[str]) -> list[tuple[int, int]]:
     """Of each item of one body the characters of stuffing and all."""
-    parsed, symbols = [], []
-    for item in items:
-        bare = BULLET.sub("", item)
-        found = URL.findall(bare) if "://" in bare or "www." in bare.lower() else []
-        links = sum(map(len, found))
-        words = WORD.findall((URL.sub(" \x00 ", bare) if found else bare).lower())
-        parsed.append((bare, links, len(symbols), words))
-        symbols += words
-    lengths = repeated(symbols)
-    covered, until = [False] * len(symbols), len(symbols)
-    for i in range(len(symbols) - 1, -1, -1):
+    parts = [(n, part, clause) for n, item in enumerate(items) for part, clause in stretches(item)]
+    read = [symbols(part) for _, part, _ in parts]
+    found = [x for one in read for x in one]
+    lengths = repeated([x for x, _ in found])
+    covered, until = [0] * len(found), len(found)
+    for i in range(len(found) - 1, -1, -1):
         until = min(until, i - lengths[i] + 1) if lengths[i] else until
-        covered[i] = i >= until
+        covered[i] = found[i][1] if i >= until else 0
         if i == until:
-            until = len(symbols)
-    judged = []
-    for bare, links, first, words in parsed:
-        plain = [w for w in words if w != "\x00" and not w.isdigit()]
-        function = sum(w in FUNCTION_WORDS for w in plain)
-        kana = len(KANA.findall(bare))
-        stops = len(STOP.findall(bare))
-        clause = function >= max(1, 0.15 * len(plain)) or kana >= max(3, 0.2 * (len(bare) - links)) or function and stops * 14 >= len(plain) or len(plain) >= 3 and stops * 10 >= len(plain) and not links
-        size = sum(map(len, plain)) or 1
-        repeats = sum(len(w) for i, w in enumerate(words, first) if w != "\x00" and covered[i]) / size
-        pieces = [x for x in SEPARATOR.split(bare) if x.strip()]
-        listed = len(pieces) >= 6 and len(plain) <= 3.5 * len(pieces) and stops * 6 <= len(pieces) and not kana >= max(3, 0.2 * (len(bare) - links))
-        judged.append((len(bare), links, clause, repeats, len(pieces), len(plain), stops, listed))
-    loose = sum(1 for _, links, clause, *_ in judged if not clause and not links)
-    out = []
-    for chars, links, clause, repeats, pieces, words, stops, listed in judged:
-        if listed or links and (words <= (6 if clause else 8) and not stops or links > 0.6 * chars and not clause):
-            stuffed = True
-        else:
-            stuffed = not clause and words >= 2 and (repeats >= 0.5 and words >= 6 or pieces >= 4 and words <= 6 * pieces or loose >= 4 and words <= 6)
-        out.append((chars if stuffed else 0, chars))
+            until = len(found)
+    out, first = [(0, 0)] * len(items), 0
+    for (n, part, clause), one in zip(parts, read):
+        size, chars = sum(x for _, x in one), len(part.strip())
+        stuffed = not clause and len(one) >= LEAST and sum(covered[first : first + len(one)]) >= COVERED * size
+        out[n] = (out[n][0] + stuffed * chars, out[n][1] + chars)
+        first += len(one)
     return out
 
 

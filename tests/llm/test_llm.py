@@ -284,6 +284,17 @@ def test_stuffed_in_any_part(spark):
     assert {r["doc_id"] for r in stuffed.stuffed_documents(df).collect()} == {i for i, (_, case) in texts.items() if case}
 
 
+def test_stuffing_is_what_repeats_cover(monkeypatch):
+    """Without repeats nothing is stuffing, whatever its form; sentences are none, however often they repeat."""
+    words = "garden hose * lab coat * travel mug * cheap lab coat * " * 6
+    links = "\n".join(f"- https://shop{i}.example/a?id={i}" for i in range(12))
+    said = "We have seen the coat. " * 20
+    own = lambda t: stuffed.stuffing("Subject: x\n\n" + t)
+    assert all(s > 0.9 * n > 0 for s, n in map(own, (words, links))) and own(said)[0] == 0
+    monkeypatch.setattr(stuffed, "repeated", lambda x: [0] * len(x))
+    assert own(words)[0] == own(links)[0] == 0
+
+
 def test_suffix_automaton_against_all_substrings():
     rng = np.random.default_rng(9)
     for _ in range(50):
