@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Callable
 from itertools import groupby
 
 import numpy as np
@@ -38,15 +40,45 @@ def heaviest_chain(p1: np.ndarray, p2: np.ndarray, w: np.ndarray) -> list[int]:
     return chain[::-1]
 
 
+def longest_increasing(values: np.ndarray) -> list:
+    """The longest strictly increasing subsequence; of several the one that ends in the smallest value."""
+    tails, at, back = [], [], []
+    for i, v in enumerate(values.tolist()):
+        k = bisect_left(tails, v)
+        back.append(at[k - 1] if k else -1)
+        tails[k : k + 1], at[k : k + 1] = [v], [i]
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(values[i])
+        i = back[i]
+    return out[::-1]
+
+
+def _by_pair(edges: DataFrame, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], list[int]]) -> DataFrame:
+    """The rows of edges (s1, p1, s2, p2, sim) that keep(p1, p2, sim) names in each pair (s1, s2); many pairs to a task."""
+    df = edges.select("s1", "p1", "s2", "p2", "sim").filter("s1 <> s2")
+    buckets = max(1, df.count() // 50_000)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("s1", "s2", "p1", "p2")])
+        s1, s2, p1, p2, w = (t[c].to_numpy() for c in ("s1", "s2", "p1", "p2", "sim"))
+        ends = [0, *(np.flatnonzero((s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])) + 1).tolist(), len(s1)]
+        return t.take(pa.array([i + k for i, j in zip(ends, ends[1:]) for k in keep(p1[i:j], p2[i:j], w[i:j])], pa.int64())).select(["s1", "p1", "s2", "p2", "sim"])
+
+    return df.withColumn("bucket", F.pmod(F.xxhash64("s1", "s2"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, df.schema)
+
+
 def chains(edges: DataFrame, weighted: bool = False) -> DataFrame:
     """The rows of edges (s1, p1, s2, p2, sim) that form the best non-crossing chain of their pair (s1, s2)."""
+    return _by_pair(edges, lambda p1, p2, w: heaviest_chain(p1, p2, w if weighted else np.ones(len(w))))
 
-    def run(t: pa.Table) -> pa.Table:
-        w = t["sim"].to_numpy() if weighted else np.ones(t.num_rows)
-        return t.take(heaviest_chain(t["p1"].to_numpy(), t["p2"].to_numpy(), w))
 
-    df = edges.select("s1", "p1", "s2", "p2", "sim").filter("s1 <> s2")
-    return df.groupBy("s1", "s2").applyInArrow(run, df.schema)
+def increasing_hits(edges: DataFrame) -> DataFrame:
+    """The rows of edges whose target position is in the longest increasing run of target positions, in the order of query positions, of their pair.
+
+    The run decides by value: a position hit twice is kept twice.
+    """
+    return _by_pair(edges, lambda p1, p2, w: np.flatnonzero(np.isin(p2, longest_increasing(p2))).tolist())
 
 
 def chain_sizes(edges: DataFrame, weighted: bool = False) -> DataFrame:

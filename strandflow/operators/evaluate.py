@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +28,13 @@ def win_table(long: DataFrame, entity: str, alg: str, score: str, algs: list[str
 def bins(value: Column, width: float = 0.1, top: float = 0.6) -> Column:
     """Lower bound of the bin of value, capped before grouping."""
     return F.least(F.floor(value / width) * width, F.lit(top))
+
+
+def head(df: DataFrame, n: int, *by: Column) -> DataFrame:
+    """The first n rows in the order `by`, with their place from 1: sorted and cut on Spark, numbered after that."""
+    return df.orderBy(*by).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*by)))
+
+
+def sample(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
+    """n rows drawn at random; the seed and the keys decide, not the partitions."""
+    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)

@@ -86,6 +86,11 @@ def neighbours(residues: DataFrame, k: int, per_target: bool, minscore: float =
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sim"), "t"))).filter(F.col("rank") <= k)
 
 
+def clamped(sim, least: float = 0.001):
+    """Similarity as an edge weight: below 0 it is `least`."""
+    return F.when(sim < 0, least).otherwise(sim)
+
+
 def best_hits(residues: DataFrame, minscore: float = 0.7) -> DataFrame:
     """The nearest residue of each other sequence of the file, from minscore up."""
     return neighbours(residues, 1, True, minscore).drop("rank")

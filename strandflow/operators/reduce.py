@@ -8,16 +8,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pca(df: DataFrame, k: int, vec: str = "emb") -> DataFrame:
-    """df with `reduced`: the k leading principal coordinates of the centred vectors (signs are arbitrary). Needs k rows and k values or more."""
+def pca_model(df: DataFrame, k: int, vec: str = "emb", sample: int | None = None, seed: int = 7):
+    """A pipeline model that centres vectors and gives their k leading principal coordinates; .write().save() and PipelineModel.load() keep it.
+
+    With `sample` it is fitted on about as many rows, drawn with replacement. Needs k rows or more.
+    """
+    from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = df.withColumn("_v", array_to_vector(F.col(vec)))
-    if rows.limit(k).count() < k:
+    n = df.count()
+    if n < k:
         raise ValueError(f"fewer than {k} rows")
-    scaled = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(rows).transform(rows)
-    return PCA(k=k, inputCol="_c", outputCol="_p").fit(scaled).transform(scaled).withColumn("reduced", vector_to_array("_p")).drop("_v", "_c", "_p")
+    rows = df.sample(True, sample / n, seed) if sample and sample < n else df
+    return Pipeline(stages=[StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c"), PCA(k=k, inputCol="_c", outputCol="_p")]).fit(_as_vectors(rows, vec))
+
+
+def _as_vectors(df: DataFrame, vec: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return df.withColumn("_v", array_to_vector(F.col(vec)))
+
+
+def apply_pca(model, df: DataFrame, vec: str = "emb") -> DataFrame:
+    """df with `reduced`, the coordinates that the model gives."""
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(_as_vectors(df, vec)).withColumn("reduced", vector_to_array("_p")).drop("_v", "_c", "_p")
+
+
+def pca(df: DataFrame, k: int, vec: str = "emb", sample: int | None = None) -> DataFrame:
+    """df with `reduced`: the k leading principal coordinates of the centred vectors (signs are arbitrary)."""
+    return apply_pca(pca_model(df, k, vec, sample), df, vec)
 
 
 def _shrink(batches):

@@ -9,7 +9,8 @@ from strandflow.functions import vectors as V
 from strandflow.operators import chains, columns, communities, doubles, filling, hits, order, reduce
 from strandflow.session import cut, drop_cut
 
-CHAINS = {"weighted": True, "longest": False}
+#: What keeps the hits of a pair from crossing: the heaviest chain, the longest one, or the longest increasing run of targets.
+CHAINS = {"weighted": lambda e: chains.chains(e, True), "longest": lambda e: chains.chains(e), "increasing": chains.increasing_hits}
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def align(residues: DataFrame, minscore: float = 0.7, gap_score: float = 0.5, mo
     """fasta, seqnum, seqpos, clustid, col: the column of every residue with a vector, columns of a file numbered together.
 
     residues has fasta, seqnum, seqpos, seqaa, idx, emb. minscore holds for the first columns, gap_score for the passes of
-    filling, of which there may be `most`; chain keeps only non-crossing hits of a pair ("weighted" or "longest"); brokers is
+    filling, of which there may be `most`; chain keeps only hits of a pair that do not cross ("weighted", "longest" or "increasing"); brokers is
     the betweenness from which vertices of over-large columns are dropped (None: columns are not taken apart); heads (indices,
     width), each of unit length with unit_heads, centre, batch (with reference, a sequence that stays as it is) and pca
     (dimensions) prepare the vectors; group is the similarity from which sequences of a file are aligned in groups that are merged
@@ -118,7 +119,7 @@ def _aligned(res: DataFrame, minscore: float, gap_score: float, most: int, chain
     found = near.filter(F.col("sim") >= minscore)
     found = hits.reciprocal(found) if reciprocal else found
     if chain:
-        keep = chains.chains(_edges(found), CHAINS[chain]).drop("sim")
+        keep = CHAINS[chain](_edges(found)).drop("sim").distinct()
         keys = ["q_seq", "q_pos", "t_seq", "t_pos"]
         found = found.join(keep.toDF(*keys), keys, "left_semi")
     found = cut(found)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandflow.functions import vectors as V
 from strandflow.operators import centrality, chains, columns, communities, doubles, evaluate, filling, graph, hits, order
+from strandflow.session import shared_dir
+from strandflow.sources import files
 from strandflow.sources import tables as T
 
 RES = """r0 as (select distinct on (idx) seqnum, seqindex, seqpos, coalesce(upper(seqaa), 'X') as seqaa, idx, fasta, aa_embeddings::double[] as v from residues
@@ -120,9 +124,9 @@ def layer_concat(s, d):
 
 
 def _pool(s, d, how):
-    rows = T.residues(s, d).select("seqnum", F.posexplode("emb").alias("pos", "x"))
-    df = rows.groupBy("seqnum", "pos").agg(F.round(how("x"), 6).alias("value"))
-    return df.select("seqnum", F.col("pos").cast("int").alias("pos"), "value")
+    """One aggregation of 48 values a sequence."""
+    wide = T.residues(s, d, single=True).groupBy("seqnum").agg(F.array(*(F.round(how(F.col("emb")[i].cast("double")), 6) for i in range(T.DIM))).alias("v"))
+    return wide.select("seqnum", F.posexplode("v").alias("pos", "value"))
 
 
 @query(f"with {RES}, x as (select seqnum, unnest(v) as x, unnest(range(48)) as pos from r) select seqnum, pos::int as pos, round(avg(x), 6) as value from x group by 1, 2")
@@ -455,16 +459,140 @@ def squish_candidates(s, d):
     return columns.squish_candidates(placed, order.column_order(placed), T.matches(s, d))
 
 
-@query()
+def _chain_sql(least, step):
+    state = f"struct_pack(p1 := n.p1, p2 := n.p2, l := {step})"
+    return f"""with recursive {MATCH}, n as materialized (select *, row_number() over (partition by s1, s2 order by p1, p2) as i from m where sim {least} and s1 <> s2), r as (select s1, s2, i, [{state}] as st from n where i = 1
+union all select n.s1, n.s2, n.i, list_append(r.st, struct_pack(p1 := n.p1, p2 := n.p2, l := {step} + coalesce(list_max(list_transform(list_filter(r.st, lambda x: x.p1 < n.p1 and x.p2 < n.p2), lambda x: x.l)), 0))) from r join n on n.s1 = r.s1 and n.s2 = r.s2 and n.i = r.i + 1),
+f as (select s1, s2, arg_max(st, i) as st from r group by 1, 2) select s1, s2, """
+
+
+@query(_chain_sql(">= 0.7", "1") + "list_max(list_transform(st, lambda x: x.l))::bigint as value from f")
 def lis_length(s, d):
+    """The length of the longest non-crossing chain of each pair of sequences."""
     return chains.chain_sizes(T.matches(s, d).filter("sim >= 0.7"))
 
 
-@query()
+@query(_chain_sql("> 0", "n.sim") + "round(list_max(list_transform(st, lambda x: x.l)), 6) as value from f")
 def mnc_weight(s, d):
+    """The weight of the heaviest non-crossing chain of each pair of sequences."""
     return chains.chain_sizes(T.matches(s, d).filter("sim > 0"), weighted=True)
 
 
+@query()
+def increasing_hits(s, d):
+    return chains.increasing_hits(T.matches(s, d).filter("sim > 0"))
+
+
+def _file(s, name):
+    """A new folder in the shared one."""
+    return f"{shared_dir(s)}/file-{name}-{uuid.uuid4().hex}"
+
+
+@query(f"with {CLEAN}, x as (select 's' || seqnum as name, substr(seq, 1, 30) as seq from w where len(substr(seq, 1, 30)) >= 5) select name, seq, 'X X ' || array_to_string(string_split(seq, ''), ' ') || ' X X' as spaced from x")
+def fasta_scan(s, d):
+    """The sequences written as FASTA and read back, cut to 30 letters, from 5 letters on, two X at the ends."""
+    path = _file(s, "fasta")
+    T.write_fasta(_clean(s, d).filter("seq <> ''").select(F.concat(F.lit("s"), "seqnum", F.lit(" of the file")).alias("name"), "seq"), path)
+    return T.read_fasta(s, path, truncate=30, minlength=5, padding=2).select("name", "seq", "spaced")
+
+
+@query(f"with {CLEAN} select case when len(seq) >= 10 then fasta else 'excluded' end as grp, 's' || seqnum as name, seq from w where seq <> ''")
+def group_fasta(s, d):
+    """A FASTA file for the sequences of each file, one for those left out as too short, read back with the name of the group."""
+    path = _file(s, "groups")
+    files.write_group_fasta(_clean(s, d).filter("seq <> ''").select(F.when(F.length("seq") >= 10, F.col("fasta")).alias("grp"), F.concat(F.lit("s"), "seqnum").alias("name"), "seq"), path)
+    return T.read_fasta(s, f"{path}/*").select(F.regexp_extract(F.url_decode("path"), "/grp=([^/]*)/", 1).alias("grp"), "name", "seq")
+
+
+@query(f"with {SEQ} select *, round(seqsim * (1 - abs(0.5 - seqlen1 / (seqlen1 + seqlen2))), 6) as correctedseqsim from y where seqsim >= 0.7")
+def similarity_csv(s, d):
+    """The similar sequences written as CSV and read back."""
+    path = _file(s, "similar")
+    files.write_similarities(hits.sequence_similarities(T.sequence_vectors(s, d), 0.7), path)
+    return files.read_csv(s, path, files.SIMILARITIES, header=True).drop("path")
+
+
+@query(f"with {MATCH} select fasta, count(*) as n, round(sum(sim), 6) as weight, count(distinct s1 || '-' || p1 || '-') as first from m join (select distinct seqnum, fasta from residues) on seqnum = s1 where sim >= 0.7 group by 1")
+def matches_csv(s, d):
+    """The matches written as CSV into a folder for each file and read back with the name of the folder."""
+    path = _file(s, "matches")
+    m = T.matches(s, d).filter("sim >= 0.7").join(T.table(s, d, "residues").select(F.col("seqnum").alias("s1"), "fasta").distinct(), "s1")
+    label = lambda a, b: F.concat_ws("-", a, b, F.lit(""))
+    files.write_matches(m.select("fasta", F.col("s1").alias("seq1"), F.col("s2").alias("seq2"), label("s1", "p1").alias("aa1"), label("s2", "p2").alias("aa2"), F.col("sim").alias("weight")), path)
+    back = files.read_csv(s, path, files.MATCHES)
+    return back.filter(F.col("path").contains("/file-matches-")).groupBy("fasta").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"), F.count_distinct("aa1").alias("first"))
+
+
+@query("select regexp_replace(fasta, '[.]fasta$', '') as source, count(*) as n, max(seq) as last from sequences where seqnum is not null group by 1")
+def csv_with_file_name(s, d):
+    """The sequences written as a CSV folder for each file, all read at once, each row with the name of where it stood."""
+    path = _file(s, "many")
+    T.table(s, d, "sequences").filter("seqnum is not null").select("seqnum", F.hex("seq").alias("seq"), F.regexp_replace("fasta", r"[.]fasta$", "").alias("source")).write.partitionBy("source").csv(path)
+    back = files.read_csv(s, f"{path}/*", "seqnum int, seq string").withColumn("source", F.regexp_extract("path", "/source=([^/]*)/", 1))
+    return back.groupBy("source").agg(F.count("*").alias("n"), F.max(F.unhex("seq").cast("string")).alias("last"))
+
+
+@query(f"with {LEV}, {RES}, mb as (select clustid, string_agg(lb, '_' order by lb) as aas from (select clustid, o.seqnum || '-' || o.seqpos || '-' || seqaa as lb from o join r0 on r0.seqnum = o.seqnum and r0.seqpos = o.seqpos) group by 1) select c1, c2, x.aas as aas1, y.aas as aas2, a.col as gidx1, b.col as gidx2, weight, case when a.col > b.col then 'yes' else 'no' end as feedback from oe join od a on a.clustid = c1 join od b on b.clustid = c2 join mb x on x.clustid = c1 join mb y on y.clustid = c2")
+def order_network_csv(s, d):
+    """The order graph with its members and feedback arcs, written as CSV and read back."""
+    path = _file(s, "network")
+    files.order_network(_placed(s, d), T.residues(s, d, vectors=False)).write.csv(path, header=True)
+    return files.read_csv(s, path, files.NETWORK, header=True).drop("path")
+
+
+@query(f"{ALN}, bl as (select fasta, seqnum, \"row\", unnest(range((len(\"row\") - 1) // 50 + 1)) as b from aln), ln as (select fasta, rpad('s' || seqnum, 36, ' ') || substr(\"row\", b * 50 + 1, 50) as line from bl union all select distinct fasta, '' from (select distinct fasta, b from bl) union all select distinct fasta, 'CLUSTAL X (1.81) multiple sequence alignment' from aln) select fasta, line, count(*) as n from ln where line <> '' group by 1, 2")
+def clustal_alignment(s, d):
+    """The alignments written in Clustal format and read back line by line."""
+    path = _file(s, "clustal")
+    files.write_clustal(_rows(s, d).withColumn("name", F.concat(F.lit("s"), "seqnum")), path)
+    lines = s.read.text(f"{path}/*").select(F.regexp_extract(F.url_decode("_metadata.file_path"), "/fasta=([^/]*)/", 1).alias("fasta"), F.col("value").alias("line"))
+    return lines.filter("line <> ''").groupBy("fasta", "line").agg(F.count("*").alias("n"))
+
+
+@query()
+def pca_csv(s, d):
+    """Seven principal coordinates of the residues by a model that was saved and loaded, written as CSV and read back."""
+    from pyspark.ml import PipelineModel
+
+    from strandflow.operators import reduce
+
+    res, path = T.residues(s, d), _file(s, "pca")
+    reduce.pca_model(res, 7).write().save(f"{path}/model")
+    files.pca_coordinates(reduce.apply_pca(PipelineModel.load(f"{path}/model"), res)).write.csv(f"{path}/csv", header=True)
+    return files.read_csv(s, f"{path}/csv", "idx long, seqnum int, seqpos int, seqaa string, " + ", ".join(f"x{i} double" for i in range(1, 8)), header=True).drop("path")
+
+
+@query("with x as (select seqnum, seqpos, sim from (select seq1 as seqnum, seq2 as seqpos, sim from rbh where sim is not null and not isnan(sim) and seq1 is not null and seq2 is not null)) select seqnum, seqpos, sim, row_number() over (order by sim desc, seqnum, seqpos)::int as place from x qualify place <= 20")
+def eval_arrange_head(s, d):
+    """The 20 best matches, in order."""
+    df = T.table(s, d, "rbh").filter("sim is not null and not isnan(sim) and seq1 is not null and seq2 is not null").select(F.col("seq1").alias("seqnum"), F.col("seq2").alias("seqpos"), "sim")
+    return evaluate.head(df, 20, F.desc("sim"), F.col("seqnum"), F.col("seqpos"))
+
+
+@query()
+def eval_sample(s, d):
+    """100 sequences drawn at random with a seed."""
+    return evaluate.sample(T.table(s, d, "sequences").select("seqnum", "fasta").filter("seqnum is not null").dropDuplicates(["seqnum"]), 100, "seqnum")
+
+
+@query("select fasta, round_even(avg(sim), 1) as mean from rbh where sim is not null and not isnan(sim) group by 1")
+def eval_bround(s, d):
+    """Means rounded to one place, halves to the even digit."""
+    return T.table(s, d, "rbh").filter("sim is not null and not isnan(sim)").groupBy("fasta").agg(F.bround(F.avg("sim"), 1).alias("mean"))
+
+
+@query("select least(seq1, seq2) as src, greatest(seq1, seq2) as dst, arg_min(sim, (aa1, aa2, sim)) as w from rbh where seq1 <> seq2 and sim is not null and not isnan(sim) and aa1 is not null and aa2 is not null group by 1, 2")
+def graph_simplify_first(s, d):
+    df = T.table(s, d, "rbh").filter("sim is not null and not isnan(sim) and aa1 is not null and aa2 is not null")
+    return graph.simplify(df.select(F.col("seq1").alias("src"), F.col("seq2").alias("dst"), F.col("sim").alias("w"), F.struct("aa1", "aa2", "sim").alias("at")), "first")
+
+
+@query("select seq1, seq2, aa1, aa2, case when sim < 0 then 0.001 else sim end as sim from rbh where sim is not null and not isnan(sim) and seq1 is not null")
+def clamped_matches(s, d):
+    """Matches with negative similarities raised to 0.001."""
+    return T.table(s, d, "rbh").filter("sim is not null and not isnan(sim) and seq1 is not null").select("seq1", "seq2", "aa1", "aa2", hits.clamped(F.col("sim")).alias("sim"))
+
+
 @query()
 def pca_reduce(s, d):
     from strandflow.operators import reduce

@@ -56,8 +56,11 @@ def columns(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "clusters").filter("clustid is not null and clustid <> -1 and seqnum is not null and seqpos is not null").select("clustid", "seqnum", "seqpos").distinct()
 
 
-def read_fasta(spark: SparkSession, path: str, truncate: int | None = None, minlength: int = 1) -> DataFrame:
-    """seqnum (order in the file), name (header up to the first blank), seq, path of FASTA files; wrapped lines are joined."""
+def read_fasta(spark: SparkSession, path: str, truncate: int | None = None, minlength: int = 1, padding: int = 0) -> DataFrame:
+    """seqnum (order in the file), name (header up to the first blank), seq, spaced, path of FASTA files; wrapped lines are joined.
+
+    spaced has `padding` X before and after the sequence and blanks between all letters.
+    """
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>", "").alias("v"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
     cut = F.split("v", r"\r?\n", 2)
     seq = F.regexp_replace(F.coalesce(F.get(cut, F.lit(1)), F.lit("")), r"\s", "")
@@ -65,7 +68,7 @@ def read_fasta(spark: SparkSession, path: str, truncate: int | None = None, minl
     df = raw.select(F.split(F.trim(F.get(cut, F.lit(0))), r"\s+")[0].alias("name"), seq.alias("seq"), "path", "at").filter(F.length("seq") >= minlength)
     from pyspark.sql import Window
 
-    return df.select((F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).alias("seqnum"), "name", "seq", "path")
+    return df.select((F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).alias("seqnum"), "name", "seq", F.array_join(F.split(F.concat(F.lit("X" * padding), "seq", F.lit("X" * padding)), ""), " ").alias("spaced"), "path")
 
 
 def write_fasta(df: DataFrame, path: str) -> None:
