@@ -30,7 +30,8 @@ from strandflow.llm import posting_lists as pl
 from strandflow.llm.grid_components import mix
 from strandflow.session import cut, small_side
 
-LEAF, LEVELS, EXPAND = 32, 5, 50
+#: Sets compared outright; levels; copies written out as pairs; rows of a block of what is large at the last level.
+LEAF, LEVELS, EXPAND, BLOCK = 32, 5, 50, 2_048
 RECALL, TABLES, BITS, SKETCH = 0.99, 96, 16, 128
 
 
@@ -85,7 +86,7 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.select("id", "tokens", "n"), member
 
 
-def candidate_pairs(sets: DataFrame, threshold: float, apart: int, runs: int | None = None, leaf: int = LEAF, levels: int = LEVELS, seed: int = 11) -> DataFrame:
+def candidate_pairs(sets: DataFrame, threshold: float, apart: int, runs: int | None = None, leaf: int = LEAF, levels: int = LEVELS, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """a < b: pairs of ids of sets(id, tokens, sketch) that met in a bucket with sketches at most `apart` bits from each other."""
     runs = runs or runs_for(levels=levels)
     roots = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("r")
@@ -107,15 +108,32 @@ def candidate_pairs(sets: DataFrame, threshold: float, apart: int, runs: int | N
             return met.distinct()
         heads = rows.join(side, "path", "left_semi")
         grown = heads.join(sets.select("id", "tokens"), "id")
-    # Each pair of blocks of what is still large is one bucket: a row goes to all cells of its row and column.
-    blocks = F.ceil(F.col("count") / leaf).cast("int")
-    rows = heads.join(small_side(large.select("path", blocks.alias("m"))), "path").withColumn("block", F.pmod(F.xxhash64("id", "path"), F.col("m")).cast("int"))
-    left = rows.select("path", F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("block").alias("i"), F.explode(F.expr("sequence(block, m - 1)")).alias("j"))
-    right = rows.select("path", F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("block").alias("j"), F.explode(F.expr("sequence(0, block)")).alias("i"))
-    rest = left.join(right, ["path", "i", "j"]).filter((F.col("a") != F.col("b")) & alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Each pair of blocks of what is still large is one group: a row goes to all cells of its row and column.
+    blocks = F.ceil(F.col("count") / block).cast("int")
+    rows = heads.join(small_side(large.select("path", blocks.alias("m"))), "path").withColumn("b", F.pmod(F.xxhash64("id", "path"), F.col("m")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("path", "id", "sketch", "b", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"))
+    rest = cells.groupBy("path", "i", "j").applyInArrow(lambda t: _near_sketches(t, apart), "a long, b long")
     return met.unionByName(rest).distinct()
 
 
+def _near_sketches(t: pa.Table, apart: int) -> pa.Table:
+    """a < b: pairs of ids of two blocks (or of one with itself) whose sketches differ in at most `apart` bits."""
+    ids, side = t["id"].to_numpy(), t["b"].to_numpy()
+    words = t["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    one, two = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    parts = [np.zeros((2, 0), np.int64)]
+    for k in range(0, len(one), 512):
+        q = one[k : k + 512]
+        bits = sum(np.bitwise_count(words[q, w][:, None] ^ words[two, w][None, :]).astype(np.int16) for w in range(words.shape[1]))
+        x, y = np.nonzero(bits <= apart)
+        x, y = ids[q[x]], ids[two[y]]
+        ends = np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y]
+        parts.append(np.unique(ends, axis=1))
+    a, b = np.concatenate(parts, axis=1)
+    return pa.table({"a": a, "b": b})
+
+
 def expand(pairs: DataFrame, nodes: DataFrame, member: DataFrame) -> DataFrame:
     """Pairs of classes (a, b) and their copies as pairs of records, by the rule at the top of the module."""
     few = nodes.filter((F.col("n") > 1) & (F.col("n") <= EXPAND)).select("id")
@@ -142,6 +160,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
 def hyperplane_sets(df: DataFrame, id_col: str, vec_col: str, dim: int, tables: int = TABLES, bits: int = BITS, seed: int = 5) -> DataFrame:
     """id, vec (stored values, binary), tokens, sketch: TABLES codes of BITS signs each, for the usable vectors."""
+    kind = np.float32 if df.schema[vec_col].dataType.elementType.simpleString() == "float" else np.float64  # one width, so that equal vectors are equal bytes
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits + SKETCH)).astype(np.float32)
 
     def code(batches):
@@ -154,7 +173,7 @@ def hyperplane_sets(df: DataFrame, id_col: str, vec_col: str, dim: int, tables:
             for i in range(bits):
                 tokens += signs[:, i * tables : (i + 1) * tables].astype(np.int64) << i
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, tables, dtype=np.int32)), pa.array(tokens.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), pl.binary(pl.to_bytes(x)), lists, _longs(signs[:, tables * bits :])], ["id", "vec", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), pl.binary(x.astype(kind)), lists, _longs(signs[:, tables * bits :])], ["id", "vec", "tokens", "sketch"])
 
     once = pl.with_vectors(pl.usable(df, id_col, vec_col), dim)
     return once.mapInArrow(code, "id long, vec binary, tokens array<long>, sketch array<long>").dropDuplicates(["id"])

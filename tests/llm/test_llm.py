@@ -173,7 +173,7 @@ def test_runs_reach_the_recall_at_the_last_level():
 def test_large_bucket_is_compared_in_blocks(spark):
     data = [(i, [*range(30), 1000 + i]) for i in range(80)]
     sets = chosen_path.sketched(spark.createDataFrame(data, "id long, tokens array<long>"))
-    got = chosen_path.candidate_pairs(sets, 0.8, 128, runs=3, leaf=8, levels=2)
+    got = chosen_path.candidate_pairs(sets, 0.8, 128, runs=3, leaf=8, levels=2, block=24)
     assert got.count() == 80 * 79 // 2
 
 
