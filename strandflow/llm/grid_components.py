@@ -28,7 +28,7 @@ CELL_EDGES, MAX_BLOCKS = 200_000, 128
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit mixing of integers."""
-    z = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(salt + 1)
+    z = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (salt + 1) % 2**64)
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
     return z ^ (z >> np.uint64(31))

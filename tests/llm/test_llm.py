@@ -62,8 +62,9 @@ def test_clusters(spark):
     assert markov.clique_clusters(df.limit(0), "id", "vec").count() == 0
 
 
-def test_cluster_over_many_lists(spark):
-    """A ball of rows that never all meet in a list is one cluster."""
+def test_cluster_over_many_lists(spark, monkeypatch):
+    """A ball of rows that never all meet in a list is one cluster, checked in pairs of blocks."""
+    monkeypatch.setattr(markov, "BLOCK", 1500)
     rng = np.random.default_rng(3)
     a, b = rng.standard_normal((2, 48))
     near = [a + 0.05 * rng.standard_normal(48) for _ in range(6000)] + [b + 0.05 * rng.standard_normal(48) for _ in range(5)]
