@@ -12,6 +12,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandflow.operators import graph, parts
@@ -82,11 +83,14 @@ def sequence_groups(edges: DataFrame, cutoff: float = -5.0, steps: int = 3) -> D
     """vertex, community of similar sequences, edges (src, dst, w) being their similarities; community is null for those put aside.
 
     Sequences much less similar to their group than its others are put aside and the rest grouped again, until none is.
+    Where every sequence of a connected part would be alone, the part is one group.
     """
     e = cut(graph.simplify(edges.filter("src is not null and dst is not null and w > 0").select("src", "dst", "w")))
     every = e.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
     while True:  # every round but the last puts some aside
-        groups = cut(communities(e, steps))
+        found = communities(e, steps).join(graph.components(e), "vertex")
+        alone = F.min((F.col("community") == F.col("vertex")).cast("int")).over(Window.partitionBy("component")) == 1
+        groups = cut(found.select("vertex", F.when(alone, F.col("component")).otherwise(F.col("community")).alias("community")))
         side = lambda n: groups.select(F.col("vertex").alias(n), F.col("community").alias(f"g{n}"))  # noqa: E731, B023
         inner = e.join(side("src"), "src").join(side("dst"), "dst").filter("gsrc = gdst")
         bad = cut(graph.outliers(graph.strength(inner).join(groups, "vertex").withColumnRenamed("community", "grp"), cutoff).filter("dropped").select("vertex"))

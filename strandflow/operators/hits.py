@@ -33,13 +33,14 @@ def _best(x: np.ndarray, y: np.ndarray, idx: np.ndarray, seq: np.ndarray, qs: np
             s[seq[q][:, None] == seq[ts][None, :]] = -4
         s[idx[q][:, None] == idx[ts][None, :]] = -4
         floor = np.float32(max(minscore, -2) - SLACK)
-        if per_target and k == 1:
-            near = s >= np.maximum(np.maximum.reduceat(s, begin, axis=1) - SLACK, floor)[:, of]
-        elif not per_target and k < len(ts):
-            near = s >= np.maximum(np.partition(s, len(ts) - k, 1)[:, [len(ts) - k]] - SLACK, floor)
-        else:
-            near = s >= floor
-        a, b = np.nonzero(near)
+        if not per_target and k < len(ts):
+            floor = np.maximum(np.partition(s, len(ts) - k, 1)[:, [len(ts) - k]] - SLACK, floor)
+        a, b = np.nonzero(s >= floor)
+        if per_target and k == 1 and len(a):  # what cannot be the best of its sequence goes before it is computed again
+            v, g = s[a, b], of[b]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (g[1:] != g[:-1])])
+            near = v >= np.repeat(np.maximum.reduceat(v, first), np.diff(np.r_[first, len(v)])) - SLACK
+            a, b = a[near], b[near]
         a, b = q[a], ts[b]
         sim = np.round(_cosines(x, a, b), 6)
         ok = sim >= minscore

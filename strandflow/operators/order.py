@@ -118,9 +118,9 @@ def levels(placed: DataFrame) -> DataFrame:
     return placed.select("clustid").distinct().join(found, "clustid", "left").select("clustid", F.coalesce("level", F.lit(0)).alias("level"), "cycle")
 
 
-def column_order(placed: DataFrame, group: str | None = None) -> DataFrame:
-    """clustid, col: 0-based places by (group, level, clustid); the columns of a group, if given, stand together."""
-    x = levels(placed)
+def column_order(placed: DataFrame, group: str | None = None, leveled: DataFrame | None = None) -> DataFrame:
+    """clustid, col: 0-based places by (group, level, clustid); the columns of a group, if given, stand together. leveled: levels(placed), where it is at hand."""
+    x = levels(placed) if leveled is None else leveled
     if group:
         x = x.join(placed.groupBy("clustid").agg(F.min(group).alias("g")), "clustid")
     keys = [*(["g"] if group else []), "level", "clustid"]

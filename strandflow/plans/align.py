@@ -31,10 +31,13 @@ def _first(found: DataFrame, brokers: float | None) -> DataFrame:
 
 
 def _settle(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """placed made consistent with the order of its columns, and that order; columns left with one member go."""
-    o = cut(order.column_order(placed, group="fasta"))
-    weak = order.weaker_ends(order.feedback_arcs(placed, o), placed)
-    kept = order.consistent(placed.join(weak, "clustid", "left_anti"), o)
+    """placed made consistent with the order of its columns, and that order; columns left with one member go. Without a cycle all of it is consistent."""
+    placed = cut(placed)
+    leveled = cut(order.levels(placed))
+    o, kept = cut(order.column_order(placed, "fasta", leveled)), placed.select("seqnum", "seqpos", "clustid")
+    if not leveled.filter("cycle is not null").isEmpty():
+        weak = order.weaker_ends(order.feedback_arcs(placed, o), placed)
+        kept = order.consistent(placed.join(weak, "clustid", "left_anti"), o)
     size = kept.groupBy("clustid").agg(F.count("*").alias("n")).filter("n > 1")
     kept = cut(kept.join(size, "clustid", "left_semi"))
     return kept, o.join(kept.select("clustid").distinct(), "clustid", "left_semi")
@@ -47,17 +50,27 @@ def _filled(placed: DataFrame, o: DataFrame, res: DataFrame, sims: DataFrame, wi
     """
     done = None
     for _ in range(most):
-        before = cut(placed.join(res.select("seqnum", "fasta").distinct(), "seqnum").groupBy("fasta").agg(F.count("*").alias("before")))
+        before = with_file(placed).groupBy("fasta").agg(F.count("*").alias("before"))
+        before = cut(before)
         here = res.join(before, "fasta", "left_semi")
-        new = filling.cluster_islands(filling.gap_islands(filling.open_residues(here, placed, o), placed, o, here), here, gap_score)
-        placed, o = _settle(with_file(cut(placed.unionByName(new))))
-        new = filling.best_columns(filling.open_residues(here, placed, o), placed, o, sims, gap_score).select("seqnum", "seqpos", "clustid")
-        placed, o = _settle(with_file(cut(placed.unionByName(new))))
-        gained = with_file(placed).groupBy("fasta").agg(F.count("*").alias("after")).join(before, "fasta").filter("after > before").select("fasta")
-        gained = cut(gained)
-        kept = cut(with_file(placed).join(gained, "fasta", "left_anti").drop("fasta"))
+        some = False
+        for phase in ("inside", "best"):
+            spare = filling.open_residues(here, placed, o)
+            if phase == "inside":
+                new = filling.cluster_islands(filling.gap_islands(spare, placed, o, here), here, gap_score)
+            else:
+                new = filling.best_columns(spare, placed, o, sims, gap_score).select("seqnum", "seqpos", "clustid")
+            new = cut(new)
+            if not new.isEmpty():
+                some = True
+                placed, o = _settle(with_file(placed.unionByName(new)))
+        kept = placed
+        if some:
+            gained = cut(with_file(placed).groupBy("fasta").agg(F.count("*").alias("after")).join(before, "fasta").filter("after > before").select("fasta"))
+            some = not gained.isEmpty()
+            kept = cut(with_file(placed).join(gained, "fasta", "left_anti").drop("fasta")) if some else placed
         done = kept if done is None else done.unionByName(kept)
-        if gained.isEmpty():
+        if not some:
             return done, order.column_order(with_file(done), group="fasta")
         placed = cut(with_file(placed).join(gained, "fasta", "left_semi").drop("fasta"))
         o = cut(o.join(placed.select("clustid").distinct(), "clustid", "left_semi"))
