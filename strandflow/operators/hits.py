@@ -98,9 +98,12 @@ def best_hits(residues: DataFrame, minscore: float = 0.7) -> DataFrame:
 
 
 def reciprocal(hits: DataFrame) -> DataFrame:
-    """Pairs of residues that are each other's best hit, once, with q_seq < t_seq."""
-    back = hits.select(F.col("t").alias("q"), F.col("q").alias("t"))
-    return hits.filter("q_seq < t_seq").join(back, ["q", "t"], "left_semi")
+    """Pairs of residues that are each other's best hit, once, with q_seq < t_seq. Both directions meet in one aggregation, so hits are made once."""
+    turned = F.col("q_seq") > F.col("t_seq")
+    side = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    ends = [side(a, b).alias(a) for a, b in (("q", "t"), ("q_seq", "t_seq"), ("q_pos", "t_pos"), ("t", "q"), ("t_seq", "q_seq"), ("t_pos", "q_pos"))]
+    both = hits.filter("q_seq <> t_seq").select("fasta", *ends, "sim")
+    return both.groupBy(*both.columns).agg(F.count("*").alias("n")).filter("n = 2").drop("n")
 
 
 def restricted(residues: DataFrame, scope: DataFrame, minscore: float = 0.5) -> DataFrame:
