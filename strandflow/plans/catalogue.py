@@ -146,7 +146,7 @@ def best_hits(s, d):
 
 @query(f"with {HITS}, b as materialized (select t as q, q as t from h where q_seq > t_seq) select h.* from h semi join b using (q, t) where q_seq < t_seq")
 def rbh(s, d):
-    return hits.reciprocal(hits.best_hits(T.residues(s, d, single=True))).select("fasta", "q", "q_seq", "q_pos", "t", "t_seq", "t_pos", "sim")
+    return hits.reciprocal_hits(T.residues(s, d, single=True)).select("fasta", "q", "q_seq", "q_pos", "t", "t_seq", "t_pos", "sim")
 
 
 @query(f"with {HITS} select q_seq, t_seq, count(*) as hits, round(sum(sim), 6) as sum_sim from h group by 1, 2")
