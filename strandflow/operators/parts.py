@@ -14,6 +14,8 @@ from strandflow.session import cut, small_side
 
 #: Vertices of a part up to which it is one array of n x n values in a task; edges sought for a task.
 LIMIT, TASK_EDGES = 512, 20_000
+#: Edges of a larger part up to which a task holds them all; values of (source, vertex or edge) held at once.
+ARRAY_EDGES, HELD = 1_000_000, 4_000_000
 
 
 def by_part(edges: DataFrame, run: Callable[[int, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], columns: str, limit: int = LIMIT) -> tuple[DataFrame, DataFrame | None]:
@@ -73,11 +75,59 @@ def between(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> dict[str, np
     return {"n": np.full(n, n), "betweenness": np.round(total / ((n - 1) * (n - 2) / 2), 6) if n > 2 else np.zeros(n)}
 
 
+def _lists(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours of all vertices one after the other, and where those of each begin."""
+    ends = np.concatenate([a, b])
+    order = np.argsort(ends, kind="stable")
+    return np.concatenate([b, a])[order], np.searchsorted(ends[order], np.arange(n + 1))
+
+
+def shares(n: int, a: np.ndarray, b: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Of every vertex its summed shares in the shortest ways from the sources, in memory of the edges times some sources at once."""
+    to, begin = _lists(n, a, b)
+    total, some = np.zeros(n), max(1, HELD // max(n, len(to)))
+    for i in range(0, len(sources), some):
+        own = sources[i : i + some]
+        far, ways = np.full(len(own) * n, -1, np.int32), np.zeros(len(own) * n)
+        front = np.arange(len(own)) * n + own
+        far[front], ways[front], depth, levels = 0, 1, 0, []
+        while len(front):
+            v = front % n
+            counts = begin[v + 1] - begin[v]
+            at = np.repeat(begin[v] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            of = np.repeat(np.arange(len(front)), counts)
+            keys = (front - v)[of] + to[at]
+            new = far[keys] < 0
+            keys, of = keys[new], of[new]
+            nxt, into = np.unique(keys, return_inverse=True)
+            far[nxt], depth = depth + 1, depth + 1
+            ways[nxt] = np.bincount(into, ways[front[of]], minlength=len(nxt))
+            levels.append((front, nxt, of, into))
+            front = nxt
+        share = np.zeros(len(own) * n)
+        for here, nxt, of, into in reversed(levels):
+            share[here] = ways[here] * np.bincount(of, ((1 + share[nxt]) / ways[nxt])[into], minlength=len(here))
+        share[np.arange(len(own)) * n + own] = 0
+        total += share.reshape(len(own), n).sum(0)
+    return total
+
+
+def sparse_hubs(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
+    """hubs() without an n x n array."""
+    ends, other = np.concatenate([a, b]), np.concatenate([b, a])
+    return _hubs(n, lambda x: np.bincount(ends, x[other], minlength=n))
+
+
 def hubs(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
     """Hub scores: the vector that two steps along the edges keep, from equal values on, greatest entry 1."""
-    m, x = adjacency(n, a, b), np.ones(n)
+    m = adjacency(n, a, b)
+    return _hubs(n, lambda x: m @ x)
+
+
+def _hubs(n: int, step: Callable[[np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
+    x = np.ones(n)
     for _ in range(10_000):
-        y = m @ (m @ x)
+        y = step(step(x))
         y /= y.max()
         done = np.abs(y - x).max() < 1e-9
         x = y

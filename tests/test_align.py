@@ -185,3 +185,20 @@ def test_over_large_components_are_taken_apart(spark):
     groups = got.groupby("clustid").vertex.apply(sorted).tolist()
     assert [901, 902] in groups and len(groups) == 4
     assert all(len({x // 100 for x in g}) == 1 and len(g) >= 8 for g in groups if g != [901, 902])
+
+
+def test_large_parts_as_arrays_and_by_joins(spark, monkeypatch):
+    """A ring with chords beyond the small limit: sources dealt to tasks give what one array gives, and what joins give."""
+    ring = [(i, (i + 1) % 40, 1.0) for i in range(40)] + [(i, i + 7, 1.0) for i in range(0, 30, 3)] + [(100, 101, 1.0), (101, 102, 1.0)]
+    df = spark.createDataFrame(ring, "src long, dst long, w double")
+    between = lambda limit: {r["vertex"]: (r["n"], r["betweenness"]) for r in centrality.betweenness(df, limit).collect()}
+    hubs = lambda limit: {r["vertex"]: r["hub"] for r in centrality.hub_scores(df, limit).collect()}
+    want, scores = between(100), hubs(100)
+    monkeypatch.setattr(centrality, "TASK_STEPS", 500)
+    joins = []
+    monkeypatch.setattr(centrality, "_by_joins", lambda e: joins.append(e))
+    assert between(1) == {v: (n, pytest.approx(b, abs=1e-6)) for v, (n, b) in want.items()} and not joins
+    assert hubs(1) == pytest.approx(scores, abs=1e-6)
+    monkeypatch.undo()
+    monkeypatch.setattr(centrality.parts, "ARRAY_EDGES", 10)
+    assert between(1) == {v: (n, pytest.approx(b, abs=1e-6)) for v, (n, b) in want.items()}
