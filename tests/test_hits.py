@@ -43,3 +43,16 @@ def test_whole_sequences_are_not_ranked_again(spark):
     for df in (hits.best_hits(res), hits.reciprocal_hits(res), hits.neighbours(res, 3, False)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("block", [1000, 20])
+def test_nearest_from_maxima_of_groups(spark, block):
+    """The k nearest in one block, where maxima of groups give the bound, and in many."""
+    res = _residues(spark, [12, 17, 9, 30, 5, 21, 14, 8], seed=2).cache()
+    rows = res.collect()
+    unit = {r.idx: np.array(r.emb) / np.linalg.norm(r.emb) for r in rows}
+    want = {}
+    for a in rows:
+        near = sorted((-round(float(unit[a.idx] @ unit[b.idx]), 6), b.idx) for b in rows if a.fasta == b.fasta and a.idx != b.idx)[:2]
+        want |= {(a.idx, t): i + 1 for i, (_, t) in enumerate(near)}
+    assert {(r.q, r.t): r["rank"] for r in hits.neighbours(res, 2, False, own=True, block=block).collect()} == want
