@@ -54,23 +54,38 @@ def longest_increasing(values: np.ndarray) -> list:
     return out[::-1]
 
 
+#: What rows (p1, p2, sim) of a pair stay: the heaviest chain, the longest one, or the longest increasing run of targets.
+KEEP = {
+    "weighted": heaviest_chain,
+    "longest": lambda p1, p2, w: heaviest_chain(p1, p2, np.ones(len(w))),
+    "increasing": lambda p1, p2, w: np.flatnonzero(np.isin(p2, longest_increasing(p2))).tolist(),
+}
+
+
+def rows_by_pair(s1: np.ndarray, p1: np.ndarray, s2: np.ndarray, p2: np.ndarray, w: np.ndarray, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], list[int]]) -> np.ndarray:
+    """Places of the rows that keep(p1, p2, w) names in each pair (s1, s2)."""
+    by = np.lexsort((p2, p1, s2, s1))
+    a, b = s1[by], s2[by]
+    ends = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist(), len(by)]
+    return by[np.array([i + k for i, j in zip(ends, ends[1:]) for k in keep(p1[by[i:j]], p2[by[i:j]], w[by[i:j]])], int)]
+
+
 def _by_pair(edges: DataFrame, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], list[int]]) -> DataFrame:
     """The rows of edges (s1, p1, s2, p2, sim) that keep(p1, p2, sim) names in each pair (s1, s2); many pairs to a task."""
     df = edges.select("s1", "p1", "s2", "p2", "sim").filter("s1 <> s2")
     buckets = max(1, df.count() // 50_000)
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in ("s1", "s2", "p1", "p2")])
-        s1, s2, p1, p2, w = (t[c].to_numpy() for c in ("s1", "s2", "p1", "p2", "sim"))
-        ends = [0, *(np.flatnonzero((s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])) + 1).tolist(), len(s1)]
-        return t.take(pa.array([i + k for i, j in zip(ends, ends[1:]) for k in keep(p1[i:j], p2[i:j], w[i:j])], pa.int64())).select(["s1", "p1", "s2", "p2", "sim"])
+        s1, s2 = (np.unique(t[c].to_numpy(), return_inverse=True)[1] for c in ("s1", "s2"))  # names or numbers
+        p1, p2, w = (t[c].to_numpy() for c in ("p1", "p2", "sim"))
+        return t.take(rows_by_pair(s1, p1, s2, p2, w, keep)).select(["s1", "p1", "s2", "p2", "sim"])
 
     return df.withColumn("bucket", F.pmod(F.xxhash64("s1", "s2"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, df.schema)
 
 
 def chains(edges: DataFrame, weighted: bool = False) -> DataFrame:
     """The rows of edges (s1, p1, s2, p2, sim) that form the best non-crossing chain of their pair (s1, s2)."""
-    return _by_pair(edges, lambda p1, p2, w: heaviest_chain(p1, p2, w if weighted else np.ones(len(w))))
+    return _by_pair(edges, KEEP["weighted" if weighted else "longest"])
 
 
 def increasing_hits(edges: DataFrame) -> DataFrame:
@@ -78,7 +93,7 @@ def increasing_hits(edges: DataFrame) -> DataFrame:
 
     The run decides by value: a position hit twice is kept twice.
     """
-    return _by_pair(edges, lambda p1, p2, w: np.flatnonzero(np.isin(p2, longest_increasing(p2))).tolist())
+    return _by_pair(edges, KEEP["increasing"])
 
 
 def chain_sizes(edges: DataFrame, weighted: bool = False) -> DataFrame:

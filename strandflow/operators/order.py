@@ -90,18 +90,22 @@ def _top(stack: list[int], v: int) -> list[int]:
     return stack[i:]
 
 
-def _leveled(t: pa.Table) -> pa.Table:
-    """clustid, level, cycle (smallest column of its cyclic part, or null) for arcs (c1, c2, x1, x2), x being mean positions."""
-    c1, c2 = t["c1"].to_numpy(), t["c2"].to_numpy()
+def leveled(c1: np.ndarray, c2: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of arcs c1 -> c2, x being mean positions; their levels; the place among them of the smallest one of their cyclic part, or -1."""
     ids, at = np.unique(np.concatenate([c1, c2]), return_inverse=True)
     a, b = at[: len(c1)], at[len(c1) :]
     x = np.zeros(len(ids))
-    x[a], x[b] = t["x1"].to_numpy(), t["x2"].to_numpy()
+    x[a], x[b] = x1, x2
     part = _cyclic_parts(len(ids), a, b)
     place = np.empty(len(ids), np.int64)
     place[np.lexsort((ids, x))] = np.arange(len(ids))
     against = (part[a] >= 0) & (part[a] == part[b]) & (place[a] > place[b])
-    level, _ = _levels(len(ids), a[~against], b[~against])
+    return ids, _levels(len(ids), a[~against], b[~against])[0], part
+
+
+def _leveled(t: pa.Table) -> pa.Table:
+    """clustid, level, cycle (smallest column of its cyclic part, or null) for arcs (c1, c2, x1, x2), x being mean positions."""
+    ids, level, part = leveled(*(t[c].to_numpy() for c in ("c1", "c2", "x1", "x2")))
     return pa.table({"clustid": ids, "level": level, "cycle": pa.array(ids[part], mask=part < 0)})
 
 

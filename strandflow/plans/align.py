@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import astuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions import vectors as V
 from strandflow.operators import chains, columns, communities, doubles, filling, hits, order, reduce
+from strandflow.plans import arrays
 from strandflow.session import cut, drop_cut
 
 #: What keeps the hits of a pair from crossing: the heaviest chain, the longest one, or the longest increasing run of targets.
@@ -107,26 +110,44 @@ def align(residues: DataFrame, minscore: float = 0.7, gap_score: float = 0.5, mo
         res = res.drop("emb").join(reduce.combat(res.select("fasta", "seqnum", "idx", "emb"), reference).select("idx", "emb"), "idx")
     if pca:
         res = res.drop("emb").join(reduce.pca(res.select("idx", "emb"), pca).select("idx", F.col("reduced").alias("emb")), "idx")
-    res = cut(res)
+    res = cut(res.withColumn("file", F.coalesce(F.concat(F.lit("/"), "fasta"), F.lit(""))))
+    rules = arrays.Rules(minscore, gap_score, most, chain, reciprocal, brokers)
     if group is None or res.isEmpty():
-        placed, o = _aligned(res, minscore, gap_score, most, chain, reciprocal, brokers)
+        placed = _aligned(res, rules, fill)
     else:
         groups = cut(sequence_groups(res, group))
         if exclude:
             res = cut(res.join(groups.filter("grp is not null"), "seqnum", "left_semi"))
         unit = groups.withColumn("grp", F.coalesce("grp", -F.col("seqnum").cast("long") - 1))
-        apart = cut(res.join(unit, "seqnum").withColumn("fasta", F.concat_ws("/", "fasta", "grp")).drop("grp"))
-        placed, o = _aligned(apart, minscore, gap_score, most, chain, reciprocal, brokers)
-        with_group = placed.join(res.select("seqnum", "fasta").distinct(), "seqnum").join(unit, "seqnum")
-        placed, o = filling.merge_groups(with_group, o, res, gap_score) if not placed.isEmpty() else (placed, o)
-        placed = placed.select("seqnum", "seqpos", "clustid")
+        apart = cut(res.join(unit, "seqnum").withColumn("fasta", F.concat_ws("/", "fasta", "grp")).withColumn("file", F.concat(F.lit("/"), "fasta")).drop("grp"))
+        placed = cut(_aligned(apart, rules, False))
+        with_group = placed.select("seqnum", "seqpos", "clustid").join(res.select("seqnum", "fasta").distinct(), "seqnum").join(unit, "seqnum")
+        placed, o = filling.merge_groups(with_group, placed.select("clustid", "col").distinct(), res, gap_score) if not placed.isEmpty() else (placed, None)
+        placed = _ordered(res, placed.select("seqnum", "seqpos", "clustid"), fill)
+    return placed.select(F.when(F.col("file") != "", F.substring("file", 2, 2**31 - 1)).alias("fasta"), "seqnum", "seqpos", "clustid", "col")
+
+
+def _ordered(res: DataFrame, placed: DataFrame, fill: bool) -> DataFrame:
+    """file, seqnum, seqpos, clustid, col of placed, with fill also of the residues left over."""
     if fill:
-        placed = placed.select("seqnum", "seqpos", "clustid").unionByName(filling.singletons(res, placed))
-    placed = cut(placed.select("seqnum", "seqpos", "clustid").join(res.select("seqnum", "fasta").distinct(), "seqnum"))
-    return placed.join(order.column_order(placed, group="fasta"), "clustid").select("fasta", "seqnum", "seqpos", "clustid", "col")
+        placed = placed.unionByName(filling.singletons(res, placed))
+    placed = cut(placed.join(res.select("seqnum", "file").distinct(), "seqnum"))
+    return placed.join(order.column_order(placed, group="file"), "clustid").select("file", "seqnum", "seqpos", "clustid", "col")
+
+
+def _aligned(res: DataFrame, rules: arrays.Rules, fill: bool) -> DataFrame:
+    """file, seqnum, seqpos, clustid, col of all files; those that a task cannot hold are aligned by joins."""
+    found, left = arrays.aligned(res, rules, fill)
+    if left is not None:
+        rest = cut(res.join(left, "file", "left_semi"))
+        placed = by_joins(rest, rules)[0].select("seqnum", "seqpos", "clustid")
+        found = cut(found.unionByName(_ordered(rest, placed, fill)))
+    return arrays.numbered(found)
 
 
-def _aligned(res: DataFrame, minscore: float, gap_score: float, most: int, chain: str | None, reciprocal: bool, brokers: float | None) -> tuple[DataFrame, DataFrame]:
+def by_joins(res: DataFrame, rules: arrays.Rules) -> tuple[DataFrame, DataFrame]:
+    """seqnum, seqpos, clustid of the residues that get a column, and the order of the columns, of files of any size."""
+    minscore, gap_score, most, chain, reciprocal, brokers = astuple(rules)
     files = cut(res.select("seqnum", "fasta").distinct())
     near = cut(hits.neighbours(res.filter("seqaa <> 'X'"), 1, True, gap_score).drop("rank"))
     found = near.filter(F.col("sim") >= minscore)

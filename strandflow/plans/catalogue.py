@@ -406,7 +406,7 @@ def aligned(s, d):
     """The whole alignment: every residue with its column."""
     from strandflow.plans.align import align
 
-    return align(T.residues(s, d))
+    return align(T.residues(s, d, single=True))
 
 
 @query()
@@ -414,7 +414,7 @@ def aligned_in_groups(s, d):
     """The whole alignment, the similar sequences of a file aligned in groups that are merged in the end."""
     from strandflow.plans.align import align
 
-    return align(T.residues(s, d), group=0.7)
+    return align(T.residues(s, d, single=True), group=0.7)
 
 
 FILES = "sf as (select distinct seqnum, fasta from r0), fc as materialized (select fasta, clustid, (row_number() over (partition by fasta order by col) - 1)::int as col from od join (select clustid, min(fasta) as fasta from o join sf using (seqnum) group by 1) using (clustid))"
