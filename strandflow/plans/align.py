@@ -121,9 +121,16 @@ def align(residues: DataFrame, minscore: float = 0.7, gap_score: float = 0.5, mo
         unit = groups.withColumn("grp", F.coalesce("grp", -F.col("seqnum").cast("long") - 1))
         apart = cut(res.join(unit, "seqnum").withColumn("fasta", F.concat_ws("/", "fasta", "grp")).withColumn("file", F.concat(F.lit("/"), "fasta")).drop("grp"))
         placed = cut(_aligned(apart, rules, False))
-        with_group = placed.select("seqnum", "seqpos", "clustid").join(res.select("seqnum", "fasta").distinct(), "seqnum").join(unit, "seqnum")
-        placed, o = filling.merge_groups(with_group, placed.select("clustid", "col").distinct(), res, gap_score) if not placed.isEmpty() else (placed, None)
-        placed = _ordered(res, placed.select("seqnum", "seqpos", "clustid"), fill)
+        placed = placed.select("seqnum", "seqpos", "clustid", "col").join(unit, "seqnum")
+        found, left = arrays.merged(res, placed, gap_score, fill)
+        if left is not None:
+            rest = cut(res.join(left, "file", "left_semi"))
+            with_group = cut(placed.join(rest.select("seqnum", "fasta").distinct(), "seqnum"))
+            whole = with_group.select("seqnum", "seqpos", "clustid")
+            if not whole.isEmpty():
+                whole = filling.merge_groups(with_group.drop("col"), with_group.select("clustid", "col").distinct(), rest, gap_score)[0].select("seqnum", "seqpos", "clustid")
+            found = cut(found.unionByName(_ordered(rest, whole, fill)))
+        placed = arrays.numbered(found)
     return placed.select(F.when(F.col("file") != "", F.substring("file", 2, 2**31 - 1)).alias("fasta"), "seqnum", "seqpos", "clustid", "col")
 
 

@@ -21,6 +21,8 @@ from strandflow.session import cut, small_side
 
 #: Pairs of residues that a task holds; a file with more of them is left to joins. Rows of a task of many files.
 PAIRS, TASK_ROWS = 4_000_000, 20_000
+#: Residues of a file up to which a task merges the alignments of its groups.
+MERGED = 300_000
 PLACED = "file string, seqnum int, seqpos int, clustid long, col long"
 
 
@@ -615,6 +617,87 @@ def aligned(res: DataFrame, rules: Rules, singles: bool, block: int = hits.BLOCK
     return found.filter("clustid is not null"), None if left.isEmpty() else left
 
 
+def _merge(c: dict[str, np.ndarray], rows: np.ndarray, x: np.ndarray, minscore: float) -> None:
+    """Puts the groups' alignments of one file (clustid, col of the places rows in c, x their vectors) into one, as filling.merge_groups() does; sets clustid."""
+    groups, grp, size = np.unique(c["grp"][rows], return_inverse=True, return_counts=True)
+    rank = np.empty(len(groups), np.int64)
+    rank[np.lexsort((groups, -size))] = np.arange(len(groups))
+    r, clustid, col = rank[grp], c["clustid"][rows], c["col"][rows]
+    while r.max() > 0:
+        next_id, next_col = clustid.copy(), col.copy()
+        for unit in np.unique(r[r % 2 == 1] // 2):
+            own = np.flatnonzero(r // 2 == unit)
+            key, first, of, n = np.unique(np.stack([r[own] % 2, col[own]], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+            of = of.ravel()
+            mean = np.stack([np.bincount(of, v) for v in x[own].T], 1) / n[:, None]
+            side, at, ids = key[:, 0], key[:, 1], clustid[own][first]
+            a, b, sim = similar(at * 2 + side, side, mean, minscore, side)
+            keep = chains.rows_by_pair(side[a], at[a], side[b], at[b], sim, chains.KEEP["weighted"])
+            a, b = a[keep], b[keep]
+            # a left column keeps its place; an unmatched right one stands just before the next matched left column
+            place, match = at.copy(), np.full(len(at), -1)
+            match[b] = at[a]
+            right = np.flatnonzero(side == 1)
+            nxt = np.minimum.accumulate(np.where(match[right] >= 0, match[right], 1 << 40)[::-1])[::-1]
+            place[right] = np.where(match[right] >= 0, match[right], nxt - 1)
+            then = np.where((side == 1) & (match < 0), at, -1)
+            new = np.unique(np.stack([place, then], 1), axis=0, return_inverse=True)[1].ravel()
+            into = np.empty(new.max() + 1, np.int64)
+            into[new[::-1]] = ids[::-1]  # left columns come first
+            next_id[own], next_col[own] = into[new[of]], new[of]
+        clustid, col, r = next_id, next_col, r // 2
+    c["clustid"][rows] = clustid
+
+
+def _merge_many(t: pa.Table, placed: pa.Table, minscore: float, singles: bool) -> pa.Table:
+    """PLACED of the files of t after merging the groups of placed (idx, grp, clustid, col); what cannot be held comes as _left() gives it."""
+    if not t.num_rows:
+        return _left([])
+    by, c = _rows(t)
+    x = _vectors(t)[by]
+    p = {n: placed[n].to_numpy() for n in ("idx", "grp", "clustid", "col")}
+    order_ = np.argsort(c["idx"])
+    row = order_[np.searchsorted(c["idx"][order_], p["idx"])]
+    some = np.zeros(len(by), bool)
+    some[row] = True
+    for n in ("grp", "clustid", "col"):
+        c[n] = np.full(len(by), -1)
+        c[n][row] = p[n]
+    bounds, out, kept = np.searchsorted(c["file"], np.arange(len(c["names"]) + 1)), [], []
+    for name, i, j in zip(c["names"], bounds, bounds[1:]):
+        try:
+            rows = i + np.flatnonzero(some[i:j])
+            if len(rows):
+                _merge(c, rows, x[rows], minscore)
+            kept.append(np.arange(i, j))
+        except TooLarge:
+            out.append(_left([name]))
+    if kept:
+        rows, none = np.concatenate(kept), np.zeros(0, int)
+        f = _files(c, rows, none, none, np.zeros(0))
+        at = np.where(some[rows], np.searchsorted(f.ids, c["clustid"][rows]), -1)
+        out.append(_table(c, rows, f.result(at, singles)))
+    return pa.concat_tables(out)
+
+
+def merged(res: DataFrame, placed: DataFrame, minscore: float, singles: bool, most: int = MERGED) -> tuple[DataFrame, DataFrame | None]:
+    """PLACED of res (file, seqnum, seqpos, idx, emb) from the alignments of the groups of its files, placed (seqnum, seqpos, grp, clustid, col), and the
+    names of the files that are too large (None: none), which have more than `most` residues or pairs than a task holds."""
+    sizes = cut(res.groupBy("file").agg(F.count("*").alias("n")))
+    large = cut(sizes.filter(F.col("n") > most).select("file"))
+    rows = res.select("file", "seqnum", "seqpos", "idx", "emb")
+    rows = rows if large.isEmpty() else rows.join(small_side(large), "file", "left_anti")
+    buckets = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // TASK_ROWS)
+    bucket = F.pmod(F.xxhash64("file"), F.lit(buckets))
+    of = cut(rows.select("file", "seqnum", "seqpos", "idx").join(placed, ["seqnum", "seqpos"]).select("file", "idx", "grp", "clustid", "col"))
+    left, right = (d.withColumn("bucket", bucket).groupBy("bucket") for d in (rows, of))
+    found = left.cogroup(right).applyInArrow(lambda t, p: _merge_many(t, p, minscore, singles), PLACED)
+    none = [F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in PLACED.split(", ")[1:]]
+    found = cut(found.unionByName(large.select("file", *none)))
+    out = cut(found.filter("clustid is null").select("file"))
+    return found.filter("clustid is not null"), None if out.isEmpty() else out
+
+
 def numbered(placed: DataFrame) -> DataFrame:
     """placed (file, …, col) with the columns of all files numbered together, in the order of the files; those of a file from 0 or any other number on."""
     width = placed.groupBy("file").agg(F.min("col").alias("low"), (F.max("col") - F.min("col") + 1).alias("n"))

@@ -69,3 +69,24 @@ def test_files_do_not_decide_for_each_other():
     assert sets(arrays._align_many(table({"f", "g"}), RULES, True)) == alone[0] | alone[1]
     with pytest.raises(arrays.TooLarge):
         arrays.similar(np.arange(4), np.arange(4), np.ones((4, 3)), 0.5, most=3)
+
+
+def test_groups_merged_as_arrays_and_by_joins(spark):
+    """The alignments of three groups of a file, and of the one group of another, come out of a task as they do by joins."""
+    rng = np.random.default_rng(4)
+    base, data, unit = rng.standard_normal((16, 12)), [], []
+    for s in range(9):
+        unit.append((s, s // 3 if s < 8 else 7))
+        for p, c in enumerate(range(s % 3, 16 - s // 3)):
+            data.append((s, s, p, "A", s * 100 + p, "f" if s < 8 else "g", (base[c] + 0.4 * rng.standard_normal(12)).tolist(), "x", "y"))
+    res = spark.createDataFrame(data, RES).withColumn("file", F.concat(F.lit("/"), "fasta")).cache()
+    unit = spark.createDataFrame(unit, "seqnum int, grp long")
+    apart = res.join(unit, "seqnum").withColumn("file", F.concat_ws("/", "file", "grp")).drop("grp")
+    placed = arrays.numbered(arrays.aligned(apart, RULES, False)[0]).select("seqnum", "seqpos", "clustid", "col").join(unit, "seqnum").cache()
+    found, left = arrays.merged(res, placed, 0.5, True)
+    with_group = placed.join(res.select("seqnum", "fasta").distinct(), "seqnum")
+    joined = align.filling.merge_groups(with_group.drop("col"), placed.select("clustid", "col").distinct(), res, 0.5)[0].select("seqnum", "seqpos", "clustid")
+    assert left is None and rows(arrays.numbered(found)) == rows(align._ordered(res, joined, True))
+    assert joined.count() > 40 and joined.select("clustid").distinct().count() < placed.select("clustid").distinct().count()
+    found, left = arrays.merged(res, placed, 0.5, True, most=20)
+    assert {r["file"] for r in left.collect()} == {"/f"} and found.select("file").distinct().count() == 1
